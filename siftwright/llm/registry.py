@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwright.llm.classify import fit_language, fit_quality, identify_language, score_quality
 from siftwright.llm.token_count import count_tokens
 from siftwright.llm.workspace import small_batches
 
@@ -28,3 +29,17 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     counted = count_tokens(_table(spark, sf_dir, "documents"), "byte_bpe_50k.json", keep=["doc_id"])
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+@_query
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = _table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs, _table(spark, sf_dir, "labels")), keep=["doc_id"])
+
+
+@_query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = _table(spark, sf_dir, "documents")
+    return identify_language(docs, fit_language(docs), keep=["doc_id"])
