@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwright.llm import decontaminate
 from siftwright.llm.classify import fit_language, fit_quality, identify_language, score_quality
+from siftwright.llm.decontaminate import find_contamination
 from siftwright.llm.token_count import count_tokens
 from siftwright.llm.workspace import small_batches
 
@@ -43,3 +45,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = _table(spark, sf_dir, "documents")
     return identify_language(docs, fit_language(docs), keep=["doc_id"])
+
+
+@_query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
+ORACLES["op4_decontamination"] = decontaminate.SQL
