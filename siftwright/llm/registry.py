@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwright.llm import decontaminate
+from siftwright.llm import decontaminate, ngram_join
 from siftwright.llm.classify import fit_language, fit_quality, identify_language, score_quality
 from siftwright.llm.decontaminate import find_contamination
+from siftwright.llm.ngram_join import jaccard_components
 from siftwright.llm.token_count import count_tokens
 from siftwright.llm.workspace import small_batches
 
@@ -53,3 +54,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op4_decontamination"] = decontaminate.SQL
+
+
+@_query
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark, 5000)
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op7_ngram_jaccard"] = ngram_join.SQL
