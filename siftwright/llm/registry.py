@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from siftwright.llm import decontaminate, ngram_join
 from siftwright.llm.classify import fit_language, fit_quality, identify_language, score_quality
 from siftwright.llm.decontaminate import find_contamination
+from siftwright.llm.line_dedup import dedup_lines
 from siftwright.llm.ngram_join import jaccard_components
 from siftwright.llm.token_count import count_tokens
 from siftwright.llm.workspace import small_batches
@@ -63,3 +64,9 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op7_ngram_jaccard"] = ngram_join.SQL
+
+
+@_query
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
