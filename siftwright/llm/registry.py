@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwright.llm import decontaminate, ngram_join
+from siftwright.llm import decontaminate, mixing, ngram_join
 from siftwright.llm.classify import fit_language, fit_quality, identify_language, score_quality
 from siftwright.llm.decontaminate import find_contamination
 from siftwright.llm.line_dedup import dedup_lines
+from siftwright.llm.mixing import mix_sources
 from siftwright.llm.ngram_join import jaccard_components
 from siftwright.llm.token_count import count_tokens
 from siftwright.llm.workspace import small_batches
@@ -70,3 +71,12 @@ ORACLES["op7_ngram_jaccard"] = ngram_join.SQL
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_query
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words(F.col("text")).alias("n_tokens"))
+    return mix_sources(docs, tokens=F.col("n_tokens"))
+
+
+ORACLES["op6_mixing"] = mixing.SQL
