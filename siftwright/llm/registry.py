@@ -14,6 +14,7 @@ from siftwright.llm.line_dedup import dedup_lines
 from siftwright.llm.mixing import mix_sources
 from siftwright.llm.ngram_join import jaccard_components
 from siftwright.llm.token_count import count_tokens
+from siftwright.llm.warc import round_trip
 from siftwright.llm.workspace import small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +81,9 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op6_mixing"] = mixing.SQL
+
+
+@_query
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
