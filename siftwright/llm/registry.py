@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwright.llm import decontaminate, mixing, ngram_join
+from siftwright.llm import decontaminate, embedding_dedup, mixing, ngram_join
 from siftwright.llm.classify import fit_language, fit_quality, identify_language, score_quality
 from siftwright.llm.decontaminate import find_contamination
+from siftwright.llm.embedding_dedup import near_duplicates
 from siftwright.llm.line_dedup import dedup_lines
 from siftwright.llm.mixing import mix_sources
 from siftwright.llm.ngram_join import jaccard_components
@@ -87,3 +88,12 @@ ORACLES["op6_mixing"] = mixing.SQL
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@_query
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark, 4000)
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op3_embedding_dedup"] = embedding_dedup.SQL
