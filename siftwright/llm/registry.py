@@ -14,6 +14,7 @@ from siftwright.llm.embedding_dedup import near_duplicates
 from siftwright.llm.line_dedup import dedup_lines
 from siftwright.llm.mixing import mix_sources
 from siftwright.llm.ngram_join import jaccard_components
+from siftwright.llm.ngram_lm import score_texts
 from siftwright.llm.token_count import count_tokens
 from siftwright.llm.warc import round_trip
 from siftwright.llm.workspace import small_batches
@@ -97,3 +98,9 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op3_embedding_dedup"] = embedding_dedup.SQL
+
+
+@_query
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return score_texts(_table(spark, sf_dir, "documents"), keep=["doc_id"])
