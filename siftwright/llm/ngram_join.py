@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwright.llm.components import connected_components
@@ -374,3 +374,18 @@ r AS (SELECT a AS doc_id, a AS other FROM (SELECT DISTINCT a FROM link) UNION SE
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.m, w.doc_id) AS component_id
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS m FROM r GROUP BY 1) c USING (doc_id)
 """
+
+
+def keep_one_of_each(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
+    """``docs`` without near duplicates: of documents tied by links, the smallest doc_id.
+
+    Defined results: as in jaccard_components; rows that link with nothing stay, also those
+    without doc_id; of rows with equal doc_id and text one stays; rows that share a doc_id
+    but not the text stay if one of them is to stay.
+    """
+    found = jaccard_components(docs.select("doc_id", "text"), percent, size, "near-duplicates")
+    stays = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__stays")).distinct()
+    kept = docs.join(stays, docs["doc_id"].cast("long") == stays["__stays"]).drop("__stays")
+    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*docs.columns))
+    once = kept.withColumn("__nth", F.row_number().over(same)).where(F.col("__nth") == 1).drop("__nth")
+    return once.unionByName(docs.where(F.col("doc_id").isNull()))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from siftwright.llm import decontaminate, embedding_dedup, mixing, ngram_join
 from siftwright.llm.classify import fit_language, fit_quality, identify_language, score_quality
 from siftwright.llm.decontaminate import find_contamination
@@ -104,3 +105,12 @@ ORACLES["op3_embedding_dedup"] = embedding_dedup.SQL
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return score_texts(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+@_query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
