@@ -1,4 +1,135 @@
 """Every registered query of the curation engine, and its SQL twin where SQL can say it."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siftwright.functions.text import first_capital, lone_letter, question_hash
+from siftwright.operators.chat import valid_conversations
+from siftwright.operators.nearest import nearest
+from siftwright.operators.pool import dev_split, keep_first, upweight, with_keys, without_keys
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+_HASH = r"md5(regexp_replace(lower(strip_accents(coalesce(text, ''))), '[^\p{L}\p{N}]', '', 'g'))"
+_POOL = f"""hashed AS (SELECT *, {_HASH} AS h FROM documents),
+firsts AS (SELECT * FROM hashed QUALIFY row_number() OVER (PARTITION BY h ORDER BY source, doc_id) = 1),
+pool AS (SELECT * FROM firsts WHERE h NOT IN (SELECT {_HASH} FROM benchmark))"""
+EDGES = (0.0, 0.5, 0.7, 0.8, 0.85, 0.9, 0.95, 0.99, 1.01)  # fixed values: the bands of a similarity
+
+
+def _query(sql: str):
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
+        return f
+
+    return register
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", question_hash(F.col("text")).alias("h"))
+    firsts = keep_first(docs, F.col("h"), [F.col("source"), F.col("doc_id")])
+    return without_keys(firsts, F.col("h"), _table(spark, sf_dir, "benchmark"), question_hash(F.col("text")))
+
+
+@_query(f"WITH {_POOL} SELECT doc_id, source, lang, h AS question_hash FROM pool")
+def pool_exact_dedup(spark, sf_dir):
+    return _pool(spark, sf_dir).withColumnRenamed("h", "question_hash")
+
+
+@_query(f"WITH {_POOL} SELECT source, count(*) AS n FROM pool GROUP BY source")
+def pool_counts_by_source(spark, sf_dir):
+    return _pool(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(f"SELECT count(*) AS leaked FROM documents WHERE {_HASH} IN (SELECT {_HASH} FROM benchmark)")
+def exact_leak_count(spark, sf_dir):
+    docs, bench = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return with_keys(docs, question_hash(F.col("text")), bench, question_hash(F.col("text"))).agg(F.count(F.lit(1)).alias("leaked"))
+
+
+@_query(f"WITH hashed AS (SELECT doc_id, {_HASH} AS h FROM documents) SELECT doc_id FROM hashed ORDER BY h, doc_id LIMIT 500")
+def dev_split_500(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", question_hash(F.col("text")).alias("h"))
+    return dev_split(docs, F.col("h"), [F.col("doc_id")], 500).select("doc_id")
+
+
+@_query("SELECT d.source, count(*) AS n, sum(quality) AS correct, avg(quality) AS accuracy FROM documents d JOIN labels l USING (doc_id) GROUP BY d.source")
+def teacher_accuracy_by_source(spark, sf_dir):
+    rows = _table(spark, sf_dir, "documents").select("doc_id", "source").join(_table(spark, sf_dir, "labels"), "doc_id")
+    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("quality").alias("correct"), F.avg("quality").alias("accuracy"))
+
+
+@_query("SELECT doc_id, lang, unnest(range(1, CASE WHEN lang = 'de' THEN 5 ELSE 2 END)) AS copy FROM documents JOIN labels USING (doc_id) WHERE quality = 1")
+def teacher_filter_upweight(spark, sf_dir):
+    right = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return upweight(_table(spark, sf_dir, "documents").select("doc_id", "lang").join(right, "doc_id"), F.col("lang") == "de", 4)
+
+
+_FACTS = """facts AS (
+  SELECT conv_id, count(*) AS n_turns, arg_min(role, turn) AS first_role, arg_max(role, turn) AS last_role,
+    CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS assistant_chars, CAST(sum(length(text)) AS BIGINT) AS total_chars,
+    bool_and(role IN ('system', 'user', 'assistant')) AS known_roles FROM conversations GROUP BY conv_id
+)"""
+
+
+@_query(f"WITH {_FACTS} SELECT * FROM facts WHERE n_turns >= 2 AND first_role IN ('system', 'user') AND last_role = 'assistant' AND known_roles AND assistant_chars >= 20 AND total_chars <= 7000")
+def conversations_valid(spark, sf_dir):
+    return valid_conversations(_table(spark, sf_dir, "conversations"))
+
+
+@_query(r"""SELECT conv_id, turn, regexp_extract(text, '[A-Z]') AS first_capital, regexp_extract(text, '(?:^|[^\p{L}\p{N}_])([A-J])(?:$|[^\p{L}\p{N}_])', 1) AS lone_letter FROM conversations WHERE role = 'assistant'""")
+def answers_parsed(spark, sf_dir):
+    said = _table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    return said.select("conv_id", "turn", first_capital(F.col("text")).alias("first_capital"), lone_letter(F.col("text")).alias("lone_letter"))
+
+
+@_query("WITH n AS (SELECT count(*) AS n FROM documents) SELECT doc_id FROM documents, n WHERE doc_id % greatest(1, n // 100) = 0 AND doc_id // greatest(1, n // 100) < 100")
+def stride_sample_100(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id")
+    step = max(1, docs.count() // 100)
+    return docs.where((F.col("doc_id") % step == 0) & (F.floor(F.col("doc_id") / step) < 100))
+
+
+@_query("SELECT count_if(quality = 1 AND toxic = 0) AS both_right, count_if(quality = 1 AND toxic = 1) AS broken, count_if(quality = 0 AND toxic = 0) AS fixed, count_if(quality = 0 AND toxic = 1) AS both_wrong FROM labels")
+def paired_breakdown(spark, sf_dir):
+    def n(q: int, t: int, name: str):
+        return F.count_if((F.col("quality") == q) & (F.col("toxic") == t)).alias(name)
+
+    return _table(spark, sf_dir, "labels").agg(n(1, 0, "both_right"), n(1, 1, "broken"), n(0, 0, "fixed"), n(0, 1, "both_wrong"))
+
+
+_SIMS = """sims AS (
+  SELECT p.vec_id, b.vec_id AS bench_id, list_dot_product(p.v, b.v) / (sqrt(list_dot_product(p.v, p.v)) * sqrt(list_dot_product(b.v, b.v))) AS sim
+  FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 5 <> 0) p,
+    (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 5 = 0) b
+), best AS (SELECT vec_id, arg_max(bench_id, sim) AS bench_id, max(sim) AS sim FROM sims GROUP BY vec_id)"""
+
+
+def _best(spark, sf_dir) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest(vectors.where("vec_id % 5 <> 0"), vectors.where("vec_id % 5 = 0"))
+
+
+@_query(f"WITH {_SIMS} SELECT vec_id, bench_id, round(sim, 6) AS sim FROM best WHERE sim < 0.4")
+def semantic_decontaminate(spark, sf_dir):
+    return _best(spark, sf_dir).where("sim < 0.4").withColumn("sim", F.round("sim", 6))
+
+
+@_query(
+    f"""WITH {_SIMS}, edges AS (SELECT unnest({list(EDGES[:-1])}) AS lo, unnest({list(EDGES[1:])}) AS hi)
+SELECT CAST(lo AS DOUBLE) AS lo, count(*) AS n FROM best JOIN edges ON sim >= lo AND sim < hi GROUP BY lo"""
+)
+def coverage_histogram(spark, sf_dir):
+    band = F.lit(None).cast("double")
+    for lo, hi in zip(EDGES, EDGES[1:]):
+        band = F.when((F.col("sim") >= lo) & (F.col("sim") < hi), F.lit(lo)).otherwise(band)
+    return _best(spark, sf_dir).select(band.alias("lo")).where("lo IS NOT NULL").groupBy("lo").agg(F.count(F.lit(1)).alias("n"))
