@@ -27,7 +27,7 @@ from siftwright.llm.workspace import Workspace
 
 THRESHOLD = 0.98
 TILE = 1024  # classes
-CELL_BITS = 6  # leading components whose sides of zero tell a class's cell
+CELL_BITS = 12  # leading components whose sides of zero tell a class's cell, at most
 _STEPS = (8, 16, 32, 64, 128, 256, 512)  # components after which a comparison stops early
 _SLACK = 1e-9  # above what rounding in the bounds can lose
 _PAIRS = 1 << 16  # cosines computed at once
@@ -224,6 +224,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     axes = principal_axes(classes)
     names = "__key long, __id long, __many long, __label int, __v array<double>, __dim int"
     placed = work.write(classes.mapInArrow(_rotate(axes), f"{names}, __cell int"), "placed")
+    # a label has about as many cells as it fills tiles, so that few classes are one tile
+    per_label = placed.groupBy("__label", "__dim").agg(F.floor(F.greatest(F.lit(0.0), F.log2(F.count(F.lit(1)) / tile))).cast("int").alias("__bits"))
+    placed = placed.join(per_label, ["__label", "__dim"]).withColumn("__cell", F.col("__cell").bitwiseAND(F.expr("shiftleft(1, least(__bits, %d)) - 1" % CELL_BITS))).drop("__bits")
     sizes = placed.groupBy("__label", "__dim", "__cell").agg(F.count(F.lit(1)).alias("__n"))
     # a cell of many classes is as many tiles as it takes
     dealt = placed.join(sizes, ["__label", "__dim", "__cell"]).withColumn("__part", F.pmod(F.col("__key"), F.ceil(F.col("__n") / tile)).cast("int"))
