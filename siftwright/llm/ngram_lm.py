@@ -56,8 +56,9 @@ class Rising:
         packed = np.packbits(upper, bitorder="little").view(np.uint64)
         before = np.zeros(len(packed) + 1, np.int64)
         np.cumsum(np.bitwise_count(packed), out=before[1:])
-        low = np.concatenate([np.packbits(low, bitorder="little"), np.zeros(8, np.uint8)])
-        return {"shape": np.array([n, bits], np.int64), "low": low, "upper": packed, "ones": before, "zeros": 64 * np.arange(len(before)) - before}
+        low = np.packbits(low, bitorder="little")
+        low = np.concatenate([low, np.zeros(8 + -len(low) % 8, np.uint8)])
+        return {"shape": np.array([n, bits], np.int64), "low": low.view(np.uint64), "upper": packed, "ones": before, "zeros": 64 * np.arange(len(before)) - before}
 
     def _select(self, k: np.ndarray, bit: int) -> np.ndarray:
         """The place of the k-th bit (from 0) of this kind in the upper half."""
@@ -78,15 +79,36 @@ class Rising:
         if not self.low_bits:
             return np.zeros(len(i), _I)
         at = i * self.low_bits
-        byte, shift = at >> 3, (at & 7).astype(_U)
-        out = np.zeros(len(i), _U)
-        for k in range(8):
-            out |= self.parts["low"][byte + k].astype(_U) << _U(8 * k)
-        return ((out >> shift) & _U((1 << self.low_bits) - 1)).astype(_I)
+        word, shift = at >> 6, (at & 63).astype(_U)
+        out = self.parts["low"][word] >> shift
+        out |= (self.parts["low"][word + 1] << _U(1)) << (_U(63) - shift)
+        return (out & _U((1 << self.low_bits) - 1)).astype(_I)
+
+    def _next(self, place: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first place from these on with this bit, and whether it is in the same word."""
+        value = self.parts["upper"][place >> 6]
+        value = (value if bit else ~value) >> (place & 63).astype(_U)
+        return place + np.bitwise_count((value & (~value + _U(1))) - _U(1)).astype(_I), value != 0
+
+    def _run(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first entry with each upper half, and the one after the last."""
+        begin = np.where(h > 0, self._select(np.maximum(h - 1, 0), 0) + 1, 0)
+        end, near = self._next(begin, 0)
+        if len(far := np.flatnonzero(~near)):
+            end[far] = self._select(h[far], 0)
+        return begin - h, end - h
 
     def get(self, i: np.ndarray) -> np.ndarray:
         return ((self._select(i, 1) - i) << self.low_bits) | self._low(i)
 
+    def bounds(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The entries i and i + 1."""
+        place = self._select(i, 1)
+        after, near = self._next(place + 1, 1)
+        if len(far := np.flatnonzero(~near)):
+            after[far] = self._select(i[far] + 1, 1)
+        return ((place - i) << self.low_bits) | self._low(i), ((after - i - 1) << self.low_bits) | self._low(i + 1)
+
     def find(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Where each x is between lo and hi, or -1: a successor search."""
         if not self.n:
@@ -94,8 +116,8 @@ class Rising:
         high = x >> self.low_bits
         inside = (high < int(self.parts["zeros"][-1])) & (hi > lo)
         h = np.where(inside, high, 0)
-        start = np.where(h > 0, self._select(np.maximum(h - 1, 0), 0) - np.maximum(h - 1, 0), 0)
-        a, b = np.maximum(start, lo), np.minimum(self._select(h, 0) - h, hi)
+        start, stop = self._run(h)
+        a, b = np.maximum(start, lo), np.minimum(stop, hi)
         b = np.where(inside, b, a)
         end, want = b.copy(), x & ((1 << self.low_bits) - 1)
         while len(live := np.flatnonzero(a < b)):
@@ -317,28 +339,35 @@ class Scorer:
         paired = np.flatnonzero((before >= 0) & (ids >= 0))
         then = np.append(ids[1:], -1)  # what follows a pair in its text
         then[:-1][first[1:]] = -1
+        # in order of the pairs, so that searches are near each other and a pair is sought once
+        key = before[paired] * size + ids[paired]
         shard = shard_of(before[paired], ids[paired], self.m.n_tries) if len(paired) else paired
-        order = np.argsort(shard, kind="stable")
-        paired, shard = paired[order], shard[order]
+        order = np.lexsort((key, shard))
+        paired, shard, key = paired[order], shard[order], key[order]
         for lo, hi in zip(starts := _firsts(shard) if len(shard) else [], np.append(starts[1:], len(shard)) if len(shard) else [], strict=True):
             trie = self._trie(int(shard[lo]))
             if trie is None:
                 continue
             one, two, three, to_two, to_three, two_p, two_rest, three_p = trie
-            at = paired[lo:hi]
-            a = one.find(before[at], np.zeros(len(at), _I), np.full(len(at), one.n, _I))
-            at, a = at[a >= 0], a[a >= 0]
-            if not len(at):
+            new = _firsts(key[lo:hi])
+            times = np.diff(np.append(new, hi - lo))
+            x, y = before[paired[lo:hi][new]], ids[paired[lo:hi][new]]
+            a = one.find(x, np.zeros(len(x), _I), np.full(len(x), one.n, _I))
+            b, held = np.full(len(x), -1, _I), np.flatnonzero(a >= 0)
+            if not len(held):
                 continue
-            b = two.find(a * size + ids[at], to_two.get(a), to_two.get(a + 1))
-            at, b = at[b >= 0], b[b >= 0]
-            if not len(at):
+            b[held] = two.find(a[held] * size + y[held], *to_two.bounds(a[held]))
+            held = np.flatnonzero(b >= 0)
+            if not len(held):
                 continue
-            own[at], rest[at] = _value(two_p[b]), _value(two_rest[b])
+            at, times = paired[lo:hi][np.repeat(b >= 0, times)], times[held]
+            b, begin_end = b[held], to_three.bounds(b[held])
+            own[at], rest[at] = np.repeat(_value(two_p[b]), times), np.repeat(_value(two_rest[b]), times)
+            b, begin, end = (np.repeat(v, times) for v in (b, *begin_end))
             on = np.flatnonzero(then[at] >= 0)
             if len(on):
                 at, b = at[on], b[on]
-                c = three.find(b * size + then[at], to_three.get(b), to_three.get(b + 1))
+                c = three.find(b * size + then[at], begin[on], end[on])
                 more[at[c >= 0]] = _value(three_p[c[c >= 0]])
         p = own + p
         prior_rest, prior_more = np.append(1.0, rest[:-1]), np.append(0.0, more[:-1])
