@@ -34,6 +34,7 @@ STEPS = 2048  # codes for each factor of ten
 _END = np.int64(0x5EED5EED5EED5EED)
 _PAD = -1
 _SPAN = 4 << 20  # bytes of text scored at once; a longer text is a span of its own
+_AT_ONCE = 1 << 20  # n-grams summed in a task before they are dealt out
 _U, _I = np.uint64, np.int64
 
 
@@ -222,21 +223,35 @@ def _store_words(folder: str):
     return store
 
 
-def _count_ngrams(folder: str, shards: list, files: list):
+def _summed(grams: list[np.ndarray], size: int, n_tries: int) -> pa.RecordBatch:
+    """Each n-gram of these blocks once, with its count and its shard."""
+    a, b, c = np.concatenate(grams, axis=1)
+    pairs = a * size + b
+    order = np.lexsort((c, pairs))
+    pairs, c = pairs[order], c[order]
+    new = _firsts(pairs, c)
+    a, b, n = pairs[new] // size, pairs[new] % size, np.diff(np.append(new, len(pairs)))
+    ints = (pa.array(x.astype(np.int32)) for x in (shard_of(a, b, n_tries), a, b, c[new]))
+    return pa.RecordBatch.from_arrays([*ints, pa.array(n, pa.int64())], names=["shard", "a", "b", "c", "n"])
+
+
+def _count_ngrams(folder: str, shards: list, files: list, size: int, n_tries: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(folder, shards, files)
         end = int(vocabulary.ids(np.array([_END]))[0])
+        waiting, held = [], 0
         for batch in batches:
             for _, _, tokens, _ in _spans(batch.column(0)):
                 a = vocabulary.ids(tokens)
                 b, c = np.append(a[1:], _PAD), np.append(a[2:], [_PAD, _PAD])[: len(a)]
                 c = np.where(b == end, _PAD, c)
-                grams = np.stack([a, b, c])[:, a != end]
-                order = np.lexsort(grams[::-1])
-                grams = grams[:, order]
-                new = np.flatnonzero(np.append(True, (grams[:, 1:] != grams[:, :-1]).any(axis=0))) if grams.shape[1] else np.zeros(0, _I)
-                n = np.diff(np.append(new, grams.shape[1]))
-                yield pa.RecordBatch.from_arrays([*(pa.array(grams[k][new].astype(np.int32)) for k in range(3)), pa.array(n, pa.int64())], names=["a", "b", "c", "n"])
+                waiting.append(np.stack([a, b, c])[:, a != end])
+                held += waiting[-1].shape[1]
+                if held >= _AT_ONCE:
+                    yield _summed(waiting, size, n_tries)
+                    waiting, held = [], 0
+        if held:
+            yield _summed(waiting, size, n_tries)
 
     return count
 
@@ -390,11 +405,10 @@ def fit(docs: DataFrame, shard: int = SHARD) -> tuple[Model, Workspace]:
         shards.append((at, listed.get(s, (None, 0))[1]))
         at += shards[-1][1]
     files = [listed.get(s, (None, 0))[0] for s in range(n_parts)]
-    grams = texts.mapInArrow(_count_ngrams(folder, shards, files), "a int, b int, c int, n long")
-    grams = work.write(grams.groupBy("a", "b", "c").agg(F.sum("n").alias("n")), "ngrams")
-    n_tries = max(1, -(-grams.count() // shard))
-    mixed = F.shiftright((F.col("a").cast("long") * 7919 + F.col("b")) * 40503, 16)
-    tries = grams.withColumn("shard", F.pmod(mixed, F.lit(n_tries)).cast("int")).groupBy("shard")
+    # no more n-grams than tokens; dealt by shard once, for the sums and the tries alike
+    n_tries = max(1, -(-int(total) // shard))
+    grams = texts.mapInArrow(_count_ngrams(folder, shards, files, size, n_tries), "shard int, a int, b int, c int, n long").repartition("shard")
+    tries = grams.groupBy("shard", "a", "b", "c").agg(F.sum("n").alias("n")).groupBy("shard")
     built = work.write(tries.applyInArrow(_store_trie(folder, size, folder, shards, files), "shard int, file string, w long, kinds long"), "trie-files")
     names = {r["shard"]: r["file"] for r in built.select("shard", "file").distinct().collect()}
     starts = F.lit(0)
@@ -402,7 +416,6 @@ def fit(docs: DataFrame, shard: int = SHARD) -> tuple[Model, Workspace]:
         starts = F.when(F.col("w") >= start, k).otherwise(starts) if k else starts
     kinds = built.groupBy("w").agg(F.sum("kinds").alias("kinds")).withColumn("v", starts.cast("int")).groupBy("v").applyInArrow(_store_kinds(folder, shards), "v int, file string")
     kept = {r["v"]: r["file"] for r in work.write(kinds, "kinds-files").collect()}
-    work.drop("ngrams")
     return Model(folder, shards, files, [kept.get(s) for s in range(n_parts)], names, n_tries, size, int(total)), work
 
 
