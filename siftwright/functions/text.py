@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import unicodedata
 
 import pandas as pd
@@ -36,3 +37,34 @@ def first_capital(output: Column) -> Column:
 def lone_letter(output: Column) -> Column:
     """The first letter A-J that is a word of its own, else an empty string."""
     return F.regexp_extract(output, r"(?U)\b([A-J])\b", 1)
+
+
+@F.pandas_udf(StringType())
+def _strip_accents(text: pd.Series) -> pd.Series:
+    return text.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFKD", s.lower()) if not unicodedata.combining(c)))
+
+
+@F.pandas_udf(StringType())
+def unescape_html(text: pd.Series) -> pd.Series:
+    return text.map(lambda s: None if s is None else html.unescape(s))
+
+
+def plain_words(text: Column) -> Column:
+    """Lower case without accents, white space collapsed and trimmed."""
+    plain = text.rlike(r"^[\x00-\x7F]*$")
+    folded = F.when(plain, F.lower(text)).otherwise(_strip_accents(F.when(~plain, text)))
+    return F.trim(F.regexp_replace(folded, r"(?U)\s+", " "))
+
+
+# Words that frame a question and say nothing of its content.
+FRAME_WORDS = (
+    "il lo la i gli le un uno una di a da in con su per tra fra e o che chi cui quale quali qual come dove quando quanto quanti cosa non si e' è "
+    "del della dei delle dal dalla al alla ai alle nel nella sul sé seguenti seguente termini parola verbi verbo tra fra questi queste questo indicati "
+    "proposti sinonimo contrario significato individuare esatta corretta frase termine"
+).split()
+
+
+def content_tokens(plain: Column) -> Column:
+    """Distinct words of a normalised text, of four letters or more, that don't merely frame a question."""
+    words = F.split(plain, " ")
+    return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 4) & ~w.isin(*dict.fromkeys(FRAME_WORDS))))

@@ -15,7 +15,7 @@ def _rows(frame):
     return sorted(tuple(f"{v:.9g}" if isinstance(v, float) else str(v) for v in row) for row in frame.astype(object).itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_rows_are_those_of_sql(spark, name):
     con = duckdb.connect()
     for table in ("documents", "benchmark", "labels", "conversations", "embeddings"):
