@@ -18,7 +18,7 @@ def shingles(plain: Column, k: int) -> Column:
         words = text.split(" ") if text else []
         return list(dict.fromkeys(" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1)))) if words else []
 
-    # an Arrow function, since a slice in a lambda takes the square of a long text's words
+    # an Arrow function, since a lambda over an expression may evaluate the expression for each run
     @F.pandas_udf("array<string>")
     def runs(texts: pd.Series) -> pd.Series:
         return texts.map(of)
