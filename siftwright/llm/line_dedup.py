@@ -1,11 +1,16 @@
-"""Line dedup: winnowing over line hashes.
+"""Line dedup: exact joins of whole windows of lines.
 
 A document is its sequence of lines that aren't blank. A window is the shortest run of
-lines from some line on that has ``min_words`` words; the line with the smallest hash in a
-window is its fingerprint. A repeated run of that many words begins with a whole window, so
-every such run is found by a fingerprint whose window agrees. Each fingerprint is joined
-with the first place where it occurs, the match is extended to both sides while the lines
-agree, and of a run that was there before, the lines go.
+lines that has ``min_words`` words, from some line on or up to some line. Whether a run is
+a window depends on its lines alone, so that each of its occurrences is one, and every line
+of a longer run lies in a window within the run: in one that begins at the line or before
+it, or, beyond the last of these, in the one that ends at the line. A line is therefore in
+a repeated run if and only if it is in a repeated window. Windows are joined with the first
+place where they occur, and of those that were there before, the lines go.
+
+This is not winnowing, which joins the least line hashes of windows and extends from there:
+a run of several continuations would have to be compared with every earlier place, pairs
+that grow with the square of a passage's copies, where a window needs its first place only.
 """
 
 from __future__ import annotations
@@ -14,35 +19,26 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwright.llm.workspace import Workspace
 
 MIN_WORDS = 50
 
-_WINDOWS = "doc_id long, text_hash long, key_a long, key_b long, begin int, end int, before array<long>, after array<long>, lines_before array<int>, lines_after array<int>"
-
-
-def _hash(line: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(line, digest_size=8).digest(), "little", signed=True)
+_WINDOWS = "doc_id long, text_hash long, key_a long, key_b long, begin int, end int"
 
 
 def _windows(min_words: int):
-    """Every window of each text, with the lines to both sides that an extension may need.
-
-    What a match can gain on a side has fewer than min_words words (more would be a window
-    of its own), so as many lines are carried as stay under that.
-    """
+    """Every window of each text: the hash of its lines in two parts, its first and last line."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for doc, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 out += _of_text(doc, mark, text or "", min_words)
-            columns = list(zip(*out, strict=True)) if out else [()] * 10
-            longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
-            kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [longs] * 2 + [ints] * 2
+            columns = list(zip(*out, strict=True)) if out else [()] * 6
+            kinds = [pa.int64()] * 4 + [pa.int32()] * 2
             names = [f.split()[0] for f in _WINDOWS.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
@@ -50,65 +46,52 @@ def _windows(min_words: int):
 
 
 def _of_text(doc: int, mark: int, text: str, min_words: int) -> list[tuple]:
-    lines = text.split("\n")
     at, sizes, hashes = [], [], []
-    for i, line in enumerate(lines):
+    for i, line in enumerate(text.split("\n")):
         if n := len(line.split()):
             at.append(i)
             sizes.append(n)
-            hashes.append(_hash(line.strip().encode("utf-8", "surrogatepass")))
-    out = []
+            hashes.append(hashlib.blake2b(line.strip().encode("utf-8", "surrogatepass"), digest_size=16).digest())
+    found = set()
     end, total = 0, 0
     for begin in range(len(at)):
-        end, total = (begin, 0) if end < begin else (end, total)
         while end < len(at) and total < min_words:
             total += sizes[end]
             end += 1
         if total < min_words:
             break
-        window = hashes[begin:end]
-        least = min(window)
-        whole = hashlib.blake2b(b"".join(h.to_bytes(8, "little", signed=True) for h in [window.index(least), *window]), digest_size=8)
-        before, held = [], 0
-        k = begin - 1
-        while k >= 0 and (held := held + sizes[k]) < min_words:
-            before.append(k)
-            k -= 1
-        after, held = [], 0
-        k = end
-        while k < len(at) and (held := held + sizes[k]) < min_words:
-            after.append(k)
-            k += 1
-        out.append(
-            (doc, mark, least, int.from_bytes(whole.digest(), "little", signed=True), at[begin], at[end - 1], [hashes[i] for i in before], [hashes[i] for i in after], [at[i] for i in before], [at[i] for i in after])
-        )
+        found.add((begin, end))
         total -= sizes[begin]
+    begin, total = 0, 0
+    for end in range(1, len(at) + 1):
+        total += sizes[end - 1]
+        while total - sizes[begin] >= min_words:
+            total -= sizes[begin]
+            begin += 1
+        if total >= min_words:
+            found.add((begin, end))
+    # blank lines between two lines that are windows by themselves go only with both
+    found.update((k, k + 2) for k in range(len(at) - 1) if min(sizes[k], sizes[k + 1]) >= min_words)
+    out = []
+    for begin, end in found:
+        whole = hashlib.blake2b(b"".join(hashes[begin:end]), digest_size=16).digest()
+        out.append((doc, mark, int.from_bytes(whole[:8], "little", signed=True), int.from_bytes(whole[8:], "little", signed=True), at[begin], at[end - 1]))
     return out
 
 
-def _agreeing(mine: Column, theirs: Column) -> Column:
-    """How many first entries of two arrays agree."""
-    same = F.transform(F.arrays_zip(mine.alias("m"), theirs.alias("t")), lambda x: x["m"].eqNullSafe(x["t"]) & x["m"].isNotNull())
-    return F.coalesce(F.nullif(F.array_position(same, F.lit(False)), F.lit(0)) - 1, F.size(same)).cast("int")
-
-
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, name: str = "line-dedup") -> DataFrame:
     """(doc_id, text_hash, runs): for each text with repeats, its line intervals to delete."""
     work = Workspace(docs.sparkSession, name)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
     windows = work.write(read.where(F.col("text") != "").mapInArrow(_windows(min_words), _WINDOWS), "windows")
-    place = F.struct("doc_id", "text_hash", "begin", "end", "before", "after")
+    place = F.struct("doc_id", "text_hash", "begin", "end")
     firsts = windows.groupBy("key_a", "key_b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).where(F.col("times") > 1)
     met = windows.join(firsts.select("key_a", "key_b", "first"), ["key_a", "key_b"])
     same_text = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
     later = met.where(~same_text | (F.col("begin") > F.col("first.begin")))
-    back, on = _agreeing(F.col("before"), F.col("first.before")), _agreeing(F.col("after"), F.col("first.after"))
-    begin = F.when(back > 0, F.element_at("lines_before", back)).otherwise(F.col("begin"))
-    end = F.when(on > 0, F.element_at("lines_after", on)).otherwise(F.col("end"))
     # within one text the first occurrence stays, also where a later one overlaps it
-    begin = F.when(same_text, F.greatest(F.col("begin"), F.col("first.end") + 1)).otherwise(begin)
-    end = F.when(same_text, F.col("end")).otherwise(end)
-    runs = later.select("doc_id", "text_hash", F.struct(begin.alias("begin"), end.alias("end")).alias("run")).where(F.col("run.begin") <= F.col("run.end"))
+    begin = F.when(same_text, F.greatest(F.col("begin"), F.col("first.end") + 1)).otherwise(F.col("begin"))
+    runs = later.select("doc_id", "text_hash", F.struct(begin.alias("begin"), F.col("end")).alias("run")).where(F.col("run.begin") <= F.col("run.end"))
     return work.write(runs.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("run")).alias("runs")), "runs")
 
 
@@ -116,8 +99,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without later repeated runs of lines, and n_lines, n_removed.
 
     A run of lines with at least ``min_words`` words that occurred before (in a row with a
-    smaller doc_id, or earlier in the same text) is deleted, as far as the match reaches;
-    blank lines between deleted lines go with them. Lines are compared without white space
+    smaller doc_id, or earlier in the same text) is deleted, as far as any match reaches;
+    blank lines between lines of a deleted run go with them. Lines are compared without white space
     at their ends. Everything else stays as it was, in its order; n_chars, if there is such
     a column, is counted anew for changed texts.
 

@@ -1,5 +1,7 @@
 """Line dedup and token counts against plain Python on awkward rows."""
 
+import random
+
 import pytest
 
 from siftwright.llm.line_dedup import dedup_lines
@@ -28,3 +30,49 @@ def test_counts_are_those_of_whole_texts(spark):
     want = [(i, len((t or "").encode()), len(whole.encode(t or "", add_special_tokens=False).ids)) for i, t in rows]
     assert sorted((r.doc_id, r.n_bytes, r.n_tokens) for r in got) == sorted(want)
     assert "".join(split_safely(long, 700)) == long
+
+
+def _passage(name, words):
+    return " ".join(f"{name}{k}" for k in range(words))
+
+
+def _texts_after(spark, texts, **more):
+    docs = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
+    return [r.text for r in dedup_lines(docs, **more).orderBy("doc_id").collect()]
+
+
+def test_a_run_goes_as_far_as_any_earlier_place_reaches(spark):
+    w, tail = _passage("w", 60), _passage("t", 40)
+    texts = [f"{w}\nanother", f"one\n{w}\n{tail}", f"start\n{w}\n{tail}\nend"]
+    assert _texts_after(spark, texts) == [texts[0], f"one\n{tail}", "start\nend"]
+
+
+def _plain(texts, least):
+    """By the definition: every run of least words or more against every earlier run."""
+    lines = [[(i, x.strip()) for i, x in enumerate(t.split("\n")) if x.strip()] for t in texts]
+    out = []
+    for d, own in enumerate(lines):
+        gone = set()
+        for b in range(len(own)):
+            for e in range(b + 1, len(own) + 1):
+                run = [x for _, x in own[b:e]]
+                if sum(len(x.split()) for x in run) < least:
+                    continue
+                for c in range(d + 1):
+                    for k in range(len(lines[c]) if c < d else b):
+                        if [x for _, x in lines[c][k : k + e - b]] == run:
+                            # an earlier occurrence in the same text stays, also where this one overlaps it
+                            start = own[b][0] if c < d else max(own[b][0], own[k + e - b - 1][0] + 1)
+                            gone.update(range(start, own[e - 1][0] + 1))
+        out.append("\n".join(x for i, x in enumerate(texts[d].split("\n")) if i not in gone))
+    return out
+
+
+def test_lines_are_those_of_plain_comparison(spark):
+    r = random.Random(8)
+    pool = ["a", "b c", "d e f", "g h i j", "", " l m ", "n o p q r s t", "u v w x y z 1 2 3", "4 5 6 7 8 9 10 11 12 13"]
+    texts = ["\n".join(r.choice(pool) for _ in range(r.randrange(1, 9))) for _ in range(60)]
+    texts += ["\n".join(r.choice(pool[:6]) for _ in range(r.randrange(9, 30))) for _ in range(30)]
+    want = _plain(texts, 9)
+    assert sum(a != b for a, b in zip(texts, want)) > 15
+    assert _texts_after(spark, texts, min_words=9) == want
