@@ -76,3 +76,10 @@ def test_lines_are_those_of_plain_comparison(spark):
     want = _plain(texts, 9)
     assert sum(a != b for a, b in zip(texts, want)) > 15
     assert _texts_after(spark, texts, min_words=9) == want
+
+
+def test_a_run_of_the_same_text_goes_to_its_end(spark):
+    p, tail, before = _passage("p", 60), _passage("t", 10), _passage("b", 10)
+    kept = f"{before}\n{p}\n{tail}\nother"
+    assert _texts_after(spark, [f"{kept}\n{before}\n{p}\n{tail}"]) == [kept]
+    assert _texts_after(spark, [f"{p}\n{p}\n{p}\n{tail}"]) == [f"{p}\n{tail}"]
