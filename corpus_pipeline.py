@@ -13,14 +13,13 @@ from siftwright.llm.ngram_join import keep_one_of_each
 from siftwright.llm.workspace import Workspace, small_batches
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-REJECT_BELOW = 0.5  # quality score
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is REJECT_BELOW or more."""
+    """Documents that the quality classifier doesn't reject, by its own threshold."""
     small_batches(spark)
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_quality(docs, model, REJECT_BELOW, keep=COLUMNS).where(F.col("predicted") == 1).select(*COLUMNS)
+    return score_quality(docs, model, keep=COLUMNS).where(F.col("predicted") == 1).select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
