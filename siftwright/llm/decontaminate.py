@@ -28,14 +28,9 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def words_of(text: Column, exact: bool) -> Column:
-    """The words of a text. exact: only A-Z are lower-cased, as the contract says.
-
-    Otherwise every letter is, which is faster, splits at the same places (no letter beyond
-    ASCII turns into a separator) and makes equal whatever the exact form makes equal.
-    """
-    lowered = F.translate(text, _UPPER, _LOWER) if exact else F.lower(text)
-    return F.array_remove(F.split(F.coalesce(lowered, F.lit("")), _NOT_WORD), "")
+def words_of(text: Column) -> Column:
+    """The words of a text; only A-Z are lower-cased, since elsewhere the neighbours of a letter may decide."""
+    return F.array_remove(F.split(F.coalesce(F.translate(text, _UPPER, _LOWER), F.lit("")), _NOT_WORD), "")
 
 
 def _shifted(x: Column, by: int) -> Column:
@@ -73,12 +68,15 @@ def _starts(words: Column, n: int) -> Column:
 
 def _short_mark(text: Column, n: int) -> Column:
     """The fingerprint of an item of n words, fewer than a window."""
-    return F.xxhash64(F.lit(n), F.lower(text))
+    return F.xxhash64(F.lit(n), text)
 
 
 def _fingerprints(words: Column, short: list[int]) -> Column:
     def marks(w: Column) -> Column:
-        parts = [window_minima(w), *(F.transform(_starts(w, n), lambda i, n=n: _short_mark(_joined(w, i, n), n)) for n in short)]
+        def of_length(n: int) -> Column:
+            return F.transform(_starts(w, n), lambda i: _short_mark(_joined(w, i, n), n))  # a lambda's second parameter would be the index
+
+        parts = [window_minima(w), *map(of_length, short)]
         return F.array_distinct(F.concat(*parts))
 
     return _let(words, marks)
@@ -92,11 +90,11 @@ def _hits(words: Column, minima: Column, matched: Column, short: list[int]) -> C
             chosen = F.filter(_starts(w, WINDOW), lambda i: F.array_contains(matched, m[i]))
             return F.transform(chosen, lambda i: F.struct(i.alias("start"), F.lit(WINDOW).alias("length"), _joined(w, i, WINDOW).alias("window")))
 
-        parts = [_let(minima, long)]
-        for n in short:
-            every = F.transform(_starts(w, n), lambda i, n=n: F.struct(i.alias("start"), F.lit(n).alias("length"), _joined(w, i, n).alias("window")))
-            parts.append(F.filter(every, lambda x, n=n: F.array_contains(matched, _short_mark(x["window"], n))))
-        return F.concat(*parts)
+        def of_length(n: int) -> Column:
+            every = F.transform(_starts(w, n), lambda i: F.struct(i.alias("start"), F.lit(n).alias("length"), _joined(w, i, n).alias("window")))
+            return F.filter(every, lambda x: F.array_contains(matched, _short_mark(x["window"], n)))
+
+        return F.concat(_let(minima, long), *map(of_length, short))
 
     return _let(words, windows)
 
@@ -117,21 +115,20 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, name: str = "decon
     """
     spark = docs.sparkSession
     work = Workspace(spark, name)
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), words_of(F.col("text"), exact=True).alias("w")).where(F.size("w") > 0)
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
     short = sorted(r[0] for r in items.where(F.size("w") < WINDOW).select(F.size("w")).distinct().collect())  # twelve lengths at most
     whole = F.transform(_starts(F.col("w"), WINDOW), lambda i: _joined(F.col("w"), i, WINDOW))
     windows = items.select("item", F.explode(F.when(F.size("w") >= WINDOW, whole).otherwise(F.array(F.array_join("w", " ")))).alias("window"))
     windows = work.write(windows.groupBy("window").agg(F.collect_set("item").alias("items")), "windows")
-    lowered = benchmark.select(words_of(F.col("text"), exact=False).alias("w"))
     own = F.when(F.size("w") >= WINDOW, window_minima(F.col("w"))).otherwise(F.array(F.xxhash64(F.size("w"), F.array_join("w", " "))))
-    marks = work.write(lowered.where(F.size("w") > 0).select(F.explode(own).alias("mark")).distinct(), "marks").withColumn("known", F.lit(True))
+    marks = work.write(items.select(F.explode(own).alias("mark")).distinct(), "marks").withColumn("known", F.lit(True))
 
     read = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
 
     def first(w: Column) -> Column:
         return F.struct(F.size(w).cast("long").alias("n"), F.concat(F.array(F.lit(None).cast("bigint")), _fingerprints(w, short)).alias("marks"))
 
-    once = read.select("doc_id", "text_hash", _let(words_of(F.col("text"), exact=False), first).alias("x"))
+    once = read.select("doc_id", "text_hash", _let(words_of(F.col("text")), first).alias("x"))
     found = (
         once.select("doc_id", "text_hash", F.col("x.n").alias("n_words"), F.explode("x.marks").alias("mark"))
         .join(marks, "mark", "left")
@@ -142,7 +139,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, name: str = "decon
     found = work.write(found, "found")
     candidates = work.write(found.where(F.size("matched") > 0).select(F.col("doc_id").alias("c_doc"), F.col("text_hash").alias("c_hash"), "matched"), "candidates")
     again = read.join(candidates, F.col("doc_id").eqNullSafe(F.col("c_doc")) & (F.col("text_hash") == F.col("c_hash")))
-    hits = again.select("doc_id", "text_hash", F.explode(_hits(words_of(F.col("text"), True), window_minima(words_of(F.col("text"), False)), F.col("matched"), short)).alias("h"))
+    hits = again.select("doc_id", "text_hash", F.explode(_let(words_of(F.col("text")), lambda w: _hits(w, window_minima(w), F.col("matched"), short))).alias("h"))
     verified = hits.select("doc_id", "text_hash", "h.*").join(windows, "window")
     spans = verified.groupBy("doc_id", "text_hash").agg(
         F.array_sort(F.collect_set(F.struct(F.col("start"), (F.col("start") + F.col("length")).alias("end")))).alias("spans"),

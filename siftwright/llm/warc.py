@@ -30,6 +30,7 @@ FILE = 64 << 20  # bytes after which a task begins another archive
 _SALTS = 8  # parts of a group of equal payloads
 _MAGIC = b"WARC/1.0\r\n"
 _LONGEST_HEADER = 1 << 16
+_LONGEST_TARGET = 1 << 15  # the other fields of a header have less than a thousand bytes
 _LENGTH = re.compile(rb"\r\nContent-Length: (\d{1,18})\r\n")
 _FILES = "file string, n_bytes long"
 _RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -44,16 +45,22 @@ def _header(fields: dict) -> bytes:
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
-    """One record: its header, its HTTP block (without the payload in a revisit), its end."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    """One record: its header, its HTTP block (without the payload in a revisit), its end.
+
+    A URL too long for a header that is found in one piece is in the block, as Content-Location.
+    """
+    # what could end a header line, or isn't ASCII, is percent-encoded; so is the percent sign
+    target = None if url is None else quote(url, safe="!#$&'()*+,/:;=?@[]~")
+    inside = target is not None and len(target) > _LONGEST_TARGET
+    located = f"Content-Location: {target}\r\n" if inside else ""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n{located}\r\n".encode()
     block = http if revisit else http + payload
     urn = "<urn:page:{}>".format
     fields = {
         "WARC-Type": "revisit" if revisit else "response",
         "WARC-Record-ID": urn("" if page_id is None else page_id),
         "WARC-Date": "1970-01-01T00:00:00Z",
-        # what could end a header line, or isn't ASCII, is percent-encoded; so is the percent sign
-        "WARC-Target-URI": None if url is None else quote(url, safe="!#$&'()*+,/:;=?@[]~"),
+        "WARC-Target-URI": None if inside else target,
         "WARC-Profile": "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest" if revisit else None,
         "WARC-Refers-To": urn(refers_to) if revisit else None,
         "WARC-Payload-Digest": f"sha1:{digest(payload)}",
@@ -204,7 +211,8 @@ def _record(head: bytes, block: bytes) -> tuple:
     kind, told = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
     if kind == "response" and (len(payload) != length or digest(payload) != told):
         raise ValueError(f"the payload of {fields['WARC-Record-ID']} is not what its record says")
-    url = fields.get("WARC-Target-URI")
+    located = re.search(rb"\r\nContent-Location: ([^\r]*)", http)
+    url = located[1].decode() if located else fields.get("WARC-Target-URI")
     return number(fields["WARC-Record-ID"]), None if url is None else unquote(url), kind, number(fields.get("WARC-Refers-To")), length, told, payload if kind == "response" else None
 
 
