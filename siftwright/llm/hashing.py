@@ -6,10 +6,14 @@ the lower-casing of A-Z come out as they would on characters.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 21  # bytes hashed at once; a piece ends between words
+PIECE = 1 << 19  # bytes hashed at once; a piece ends between words
+LONG_WORD = 256  # bytes; sums of powers can't tell some longer words apart, so those get a digest
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: dict[str, np.ndarray] = {}
 
@@ -33,6 +37,16 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
+def slices(batch: pa.RecordBatch, text: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about ``most`` bytes in column ``text``; a longer text is a run of its own."""
+    _, offsets = column_bytes(batch.column(text))
+    lo, n = 0, batch.num_rows
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit (the splitmix64 finaliser)."""
     x = x.astype(np.uint64, copy=True)
@@ -84,6 +98,9 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
         s, e = start[lo:hi] - a, end[lo:hi] - a
         hashes[lo:hi] = (sums[e] - sums[s]) * down[s]
         lo = hi
+    for i in np.flatnonzero(end - start > LONG_WORD).tolist():
+        word = data[start[i] : end[i]]
+        hashes[i] = int.from_bytes(hashlib.blake2b((LOWER_AZ[word] if lower else word).tobytes(), digest_size=8).digest(), "little")
     upto = np.searchsorted(start, offsets)
     return mix(hashes), start, end, np.diff(upto)
 

@@ -18,7 +18,6 @@ from siftwright.llm.ngram_join import jaccard_components
 from siftwright.llm.ngram_lm import score_texts
 from siftwright.llm.token_count import count_tokens
 from siftwright.llm.warc import round_trip
-from siftwright.llm.workspace import small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,21 +34,18 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 @_query
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     counted = count_tokens(_table(spark, sf_dir, "documents"), "byte_bpe_50k.json", keep=["doc_id"])
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
 @_query
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     docs = _table(spark, sf_dir, "documents")
     return score_quality(docs, fit_quality(docs, _table(spark, sf_dir, "labels")), keep=["doc_id"])
 
 
 @_query
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     docs = _table(spark, sf_dir, "documents")
     return identify_language(docs, fit_language(docs), keep=["doc_id"])
 
@@ -64,7 +60,6 @@ ORACLES["op4_decontamination"] = decontaminate.SQL
 
 @_query
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark, 5000)
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
@@ -73,7 +68,6 @@ ORACLES["op7_ngram_jaccard"] = ngram_join.SQL
 
 @_query
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
@@ -88,13 +82,11 @@ ORACLES["op6_mixing"] = mixing.SQL
 
 @_query
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 @_query
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark, 4000)
     return near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
@@ -103,7 +95,6 @@ ORACLES["op3_embedding_dedup"] = embedding_dedup.SQL
 
 @_query
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return score_texts(_table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 

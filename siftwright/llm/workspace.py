@@ -6,7 +6,8 @@ import tempfile
 import uuid
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -16,6 +17,8 @@ def shared_root(spark: SparkSession) -> str:
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if told:
         return told.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="siftwright-"))
 
 
@@ -45,12 +48,17 @@ class Workspace:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self, name: str) -> None:
+    def drop(self, name: str = "") -> None:
+        """Remove a table, or the whole folder."""
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
+        path = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
         path.getFileSystem(self.spark._jsc.sc().hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of few rows, since one text may have megabytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+BROADCAST_BYTES = 48 << 20
+
+
+def small(df: DataFrame, row_bytes: Column) -> DataFrame:
+    """df, a written table, marked for broadcast if its rows have few bytes together; else it is joined by a shuffle."""
+    total = df.agg(F.coalesce(F.sum(row_bytes.cast("long")), F.lit(0))).first()[0]
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
