@@ -1,16 +1,17 @@
-"""Line dedup: exact joins of whole windows of lines.
+"""Line dedup: winnowing over line hashes.
 
 A document is its sequence of lines that aren't blank. A window is the shortest run of
 lines that has ``min_words`` words, from some line on or up to some line. Whether a run is
 a window depends on its lines alone, so that each of its occurrences is one, and every line
 of a longer run lies in a window within the run: in one that begins at the line or before
-it, or, beyond the last of these, in the one that ends at the line. A line is therefore in
-a repeated run if and only if it is in a repeated window. Windows are joined with the first
-place where they occur, and of those that were there before, the lines go.
-
-This is not winnowing, which joins the least line hashes of windows and extends from there:
-a run of several continuations would have to be compared with every earlier place, pairs
-that grow with the square of a passage's copies, where a window needs its first place only.
+it, or, beyond the last of these, in the one that ends at the line.
+
+Each window selects its least line hash; equal windows select the same line at the same
+place, so a repeated run always shares a fingerprint with its first occurrence. Places of
+selected lines are joined by their hash. A place that another one matches is extended both
+ways, to all windows that selected it, and a window that occurred before is deleted. So a
+passage that goes on differently in each of its copies is followed in every direction, and
+what is compared grows with the windows of matched lines, not with the pairs of copies.
 """
 
 from __future__ import annotations
@@ -22,40 +23,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwright.llm.workspace import Workspace
+from siftwright.llm.workspace import Workspace, small, unused
 
 MIN_WORDS = 50
 
+_MARKS = "doc_id long, text_hash long, line long"
 _WINDOWS = "doc_id long, text_hash long, key_a long, key_b long, begin int, end int"
 
 
-def _windows(min_words: int):
-    """Every window of each text: the hash of its lines in two parts, its first and last line."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for doc, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                out += _of_text(doc, mark, text or "", min_words)
-            columns = list(zip(*out, strict=True)) if out else [()] * 6
-            kinds = [pa.int64()] * 4 + [pa.int32()] * 2
-            names = [f.split()[0] for f in _WINDOWS.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
-
-    return emit
-
-
-def _of_text(doc: int, mark: int, text: str, min_words: int) -> list[tuple]:
+def _lines(text: str) -> tuple[list[int], list[int], list[bytes]]:
+    """Place, words and digest of each line that isn't blank."""
     at, sizes, hashes = [], [], []
     for i, line in enumerate(text.split("\n")):
         if n := len(line.split()):
             at.append(i)
             sizes.append(n)
             hashes.append(hashlib.blake2b(line.strip().encode("utf-8", "surrogatepass"), digest_size=16).digest())
+    return at, sizes, hashes
+
+
+def _windows(sizes: list[int], min_words: int) -> set[tuple[int, int]]:
+    """(first, one after the last) line of every window."""
     found = set()
     end, total = 0, 0
-    for begin in range(len(at)):
-        while end < len(at) and total < min_words:
+    for begin in range(len(sizes)):
+        while end < len(sizes) and total < min_words:
             total += sizes[end]
             end += 1
         if total < min_words:
@@ -63,7 +55,7 @@ def _of_text(doc: int, mark: int, text: str, min_words: int) -> list[tuple]:
         found.add((begin, end))
         total -= sizes[begin]
     begin, total = 0, 0
-    for end in range(1, len(at) + 1):
+    for end in range(1, len(sizes) + 1):
         total += sizes[end - 1]
         while total - sizes[begin] >= min_words:
             total -= sizes[begin]
@@ -71,19 +63,71 @@ def _of_text(doc: int, mark: int, text: str, min_words: int) -> list[tuple]:
         if total >= min_words:
             found.add((begin, end))
     # blank lines between two lines that are windows by themselves go only with both
-    found.update((k, k + 2) for k in range(len(at) - 1) if min(sizes[k], sizes[k + 1]) >= min_words)
-    out = []
-    for begin, end in found:
-        whole = hashlib.blake2b(b"".join(hashes[begin:end]), digest_size=16).digest()
-        out.append((doc, mark, int.from_bytes(whole[:8], "little", signed=True), int.from_bytes(whole[8:], "little", signed=True), at[begin], at[end - 1]))
-    return out
+    found.update((k, k + 2) for k in range(len(sizes) - 1) if min(sizes[k], sizes[k + 1]) >= min_words)
+    return found
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, name: str = "line-dedup") -> DataFrame:
-    """(doc_id, text_hash, runs): for each text with repeats, its line intervals to delete."""
-    work = Workspace(docs.sparkSession, name)
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    windows = work.write(read.where(F.col("text") != "").mapInArrow(_windows(min_words), _WINDOWS), "windows")
+def _number(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(schema.split(", "))
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int32() if kind == "int" else pa.int64()) for c, (_, kind) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+
+def _fingerprints(min_words: int):
+    """The selected lines of each text, a row for each place."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for doc, mark, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                _, sizes, hashes = _lines(text)
+                chosen = set()
+                for begin, end in _windows(sizes, min_words):
+                    least = min(hashes[begin:end])
+                    chosen.add((hashes.index(least, begin, end), least))
+                out += [(doc, mark, _number(least)) for _, least in chosen]
+            yield _batch(out, _MARKS)
+
+    return emit
+
+
+def _extended(min_words: int):
+    """Every window of each text that selected a matched line; all windows where ``matched`` is null."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for doc, mark, text, matched in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at, sizes, hashes = _lines(text)
+                known = None if matched is None else set(matched)
+                for begin, end in _windows(sizes, min_words):
+                    own = hashes[begin:end]
+                    if known is None or _number(min(own)) in known:
+                        whole = hashlib.blake2b(b"".join(own), digest_size=16).digest()
+                        out.append((doc, mark, _number(whole), _number(whole[8:]), at[begin], at[end - 1]))
+            yield _batch(out, _WINDOWS)
+
+    return emit
+
+
+def repeated_lines(docs: DataFrame, work: Workspace, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, text_hash, runs): for each text with repeats, its line intervals to delete; a written table."""
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text")).where(F.col("text") != "")
+    places = work.write(read.mapInArrow(_fingerprints(min_words), _MARKS), "places")
+    shared = places.groupBy("line").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("line")
+    matched = places.join(shared, "line").groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("matched"))
+    matched = work.write(matched.withColumnsRenamed({"doc_id": "m_doc", "text_hash": "m_hash"}), "matched")
+    # few: the other texts aren't read again; many: windows are fewer bytes than texts, so they all go on
+    few = small(matched, 24 + 8 * F.size("matched"))
+    if few is not matched:
+        read = read.join(few, F.col("doc_id").eqNullSafe(F.col("m_doc")) & (F.col("text_hash") == F.col("m_hash"))).select("doc_id", "text_hash", "text", "matched")
+    else:
+        read = read.withColumn("matched", F.lit(None).cast("array<bigint>"))
+    windows = work.write(read.mapInArrow(_extended(min_words), _WINDOWS), "windows")
     place = F.struct("doc_id", "text_hash", "begin", "end")
     firsts = windows.groupBy("key_a", "key_b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).where(F.col("times") > 1)
     met = windows.join(firsts.select("key_a", "key_b", "first"), ["key_a", "key_b"])
@@ -95,7 +139,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, name: str = "lin
     return work.write(runs.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("run")).alias("runs")), "runs")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, name: str = "line-dedup") -> DataFrame:
     """``docs`` without later repeated runs of lines, and n_lines, n_removed.
 
     A run of lines with at least ``min_words`` words that occurred before (in a row with a
@@ -110,16 +154,18 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     deleted for the other; rows without doc_id come before all others; an empty table gives
     no rows; input columns called n_lines or n_removed are replaced.
     """
-    runs = repeated_lines(docs, min_words).select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), F.col("runs").alias("__runs"))
     base = docs.drop("n_lines", "n_removed")
-    joined = base.join(runs, base["doc_id"].cast("long").eqNullSafe(runs["__doc"]) & (F.xxhash64(base["text"]) == runs["__hash"]), "left")
+    doc, mark, runs, kept = (unused(base, n) for n in ("doc", "mark", "runs", "kept"))
+    work = Workspace(docs.sparkSession, name)
+    found = small(repeated_lines(base, work, min_words), 24 + 16 * F.size("runs")).select(F.col("doc_id").alias(doc), F.col("text_hash").alias(mark), F.col("runs").alias(runs))
+    joined = base.join(found, base["doc_id"].cast("long").eqNullSafe(found[doc]) & (F.xxhash64(base["text"]) == found[mark]), "left")
     lines = F.split("text", "\n", -1)
-    kept = F.filter(lines, lambda x, i: ~F.exists(F.col("__runs"), lambda r: (r["begin"] <= i) & (i <= r["end"])))
-    changed = F.col("__runs").isNotNull()
-    out = joined.withColumn("__kept", F.when(changed, kept))
-    text = F.when(changed, F.array_join("__kept", "\n")).otherwise(F.col("text"))
+    changed = F.col(runs).isNotNull()
+    stays = F.filter(lines, lambda x, i: ~F.exists(F.col(runs), lambda r: (r["begin"] <= i) & (i <= r["end"])))
+    out = joined.withColumn(kept, F.when(changed, stays))
+    text = F.when(changed, F.array_join(kept, "\n")).otherwise(F.col("text"))
     every = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
     columns = {c: F.col(c) for c in base.columns} | {"text": text}
     if "n_chars" in columns:
         columns["n_chars"] = F.when(changed, F.length(text).cast(base.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.select(*(c.alias(n) for n, c in columns.items()), every.alias("n_lines"), F.when(changed, every - F.size("__kept")).otherwise(0).cast("long").alias("n_removed"))
+    return out.select(*(c.alias(n) for n, c in columns.items()), every.alias("n_lines"), F.when(changed, every - F.size(kept)).otherwise(0).cast("long").alias("n_removed"))

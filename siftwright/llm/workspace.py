@@ -62,3 +62,11 @@ def small(df: DataFrame, row_bytes: Column) -> DataFrame:
     """df, a written table, marked for broadcast if its rows have few bytes together; else it is joined by a shuffle."""
     total = df.agg(F.coalesce(F.sum(row_bytes.cast("long")), F.lit(0))).first()[0]
     return F.broadcast(df) if total <= BROADCAST_BYTES else df
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
