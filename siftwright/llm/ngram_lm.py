@@ -2,7 +2,8 @@
 
 Counting is distributed; what comes of it is files in the shared folder. The vocabulary is
 sorted arrays of word hashes, a word's id being its place. The n-grams are dealt to shards
-by their first two words; a shard is a trie of three levels. Each level is one rising
+by their first word, those of a frequent one by their second word as well, in sorted packed
+runs; a shard is a trie of three levels. Each level is one rising
 sequence, context rank times vocabulary plus word id, in Elias-Fano code; the bounds of a
 context's words are rising pointers in the same code. Probabilities are quantised to 16
 bits of their logarithm. A query finds a word by a successor search within its context.
@@ -16,11 +17,13 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +37,8 @@ STEPS = 2048  # codes for each factor of ten
 _END = np.int64(0x5EED5EED5EED5EED)
 _PAD = -1
 _SPAN = 4 << 20  # bytes of text scored at once; a longer text is a span of its own
-_AT_ONCE = 1 << 20  # n-grams summed in a task before they are dealt out
+_AT_ONCE = 1 << 19  # n-grams or words summed in a task before they are dealt out
+_PARTS = 16  # a word's n-grams are dealt to as many shards as they would fill times this
 _U, _I = np.uint64, np.int64
 
 
@@ -141,32 +145,53 @@ def _value(code: np.ndarray) -> np.ndarray:
 
 def _store(folder: str, arrays: dict[str, np.ndarray]) -> str:
     """One file of arrays; the name is new, so a task that runs again harms nothing."""
-    os.makedirs(folder, exist_ok=True)
+    store, root = pa.fs.FileSystem.from_uri(folder)
+    store.create_dir(root, recursive=True)
     name, at, index = f"{uuid.uuid4().hex}.bin", 0, {}
-    with open(f"{folder}/{name}.part", "wb") as f:
+    with store.open_output_stream(f"{root}/{name}") as f:
         for key, a in arrays.items():
             index[key] = (at, a.dtype.str, len(a))
-            f.write(a.tobytes())
+            f.write(np.ascontiguousarray(a).tobytes())
             at += a.nbytes
             f.write(b"\0" * (-at % 8))
             at += -at % 8
         f.write(json.dumps(index).encode())
         f.write(at.to_bytes(8, "little"))
-    os.rename(f"{folder}/{name}.part", f"{folder}/{name}")
     return name
 
 
-def _open(path: str) -> dict[str, np.ndarray]:
-    whole = np.memmap(path, np.uint8, "r")
+def _open(folder: str, name: str) -> dict[str, np.ndarray]:
+    """The arrays of a file, mapped; from a store that isn't mounted, a copy without a name is mapped."""
+    store, root = pa.fs.FileSystem.from_uri(folder)
+    if isinstance(store, pa.fs.LocalFileSystem):
+        whole = np.memmap(f"{root}/{name}", np.uint8, "r")
+    else:
+        with tempfile.TemporaryFile() as copy, store.open_input_stream(f"{root}/{name}") as f:
+            while piece := f.read(1 << 20):
+                copy.write(piece)
+            whole = np.memmap(copy, np.uint8, "r")
     at = int.from_bytes(whole[-8:].tobytes(), "little")
     index = json.loads(whole[at:-8].tobytes())
     return {k: np.asarray(whole[o : o + n * np.dtype(d).itemsize].view(d)) for k, (o, d, n) in index.items()}
 
 
+def _packed(pairs: np.ndarray, c: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted n-grams with their counts: differences and numbers by byte planes, compressed."""
+    planes = [x.view(np.uint8).reshape(len(pairs), -1).T.tobytes() for x in (np.diff(pairs, prepend=0), c.astype(np.int32), n)]
+    return len(pairs).to_bytes(8, "little") + pa.compress(b"".join(planes), "zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    m = int.from_bytes(blob[:8], "little")
+    planes = np.frombuffer(pa.decompress(blob[8:], 20 * m, "zstd"), np.uint8)
+    read = lambda lo, kind: np.ascontiguousarray(planes[lo * m : (lo + np.dtype(kind).itemsize) * m].reshape(-1, m).T).view(kind).ravel()
+    return np.cumsum(read(0, _I)), read(8, np.int32), read(12, _I)
+
+
 class Vocabulary:
     def __init__(self, folder: str, shards: list[tuple[int, int]], files: list[str | None]):
         self.starts = np.array([s for s, _ in shards], _I)
-        self.parts = [None if f is None else _open(f"{folder}/{f}") for f in files]
+        self.parts = [None if f is None else _open(folder, f) for f in files]
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         out = np.full(len(hashes), -1, _I)
@@ -207,10 +232,23 @@ def _counted(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def merged() -> pa.RecordBatch:
+        w, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([y for _, y in held])).astype(_I)
+        held[:] = [(w, n)]
+        return pa.RecordBatch.from_arrays([pa.array(w), pa.array(n)], names=["w", "n"])
+
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
         for _, _, tokens, _ in _spans(batch.column(0)):
-            w, n = _counted(tokens)
-            yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(n, pa.int64())], names=["w", "n"])
+            held.append(_counted(tokens))
+            if sum(len(w) for w, _ in held) > _AT_ONCE:
+                out = merged()
+                if out.num_rows > _AT_ONCE // 2:
+                    yield out
+                    held = []
+    if held:
+        yield merged()
 
 
 def _store_words(folder: str):
@@ -224,15 +262,17 @@ def _store_words(folder: str):
 
 
 def _summed(grams: list[np.ndarray], size: int, n_tries: int) -> pa.RecordBatch:
-    """Each n-gram of these blocks once, with its count and its shard."""
-    a, b, c = np.concatenate(grams, axis=1)
-    pairs = a * size + b
-    order = np.lexsort((c, pairs))
-    pairs, c = pairs[order], c[order]
-    new = _firsts(pairs, c)
-    a, b, n = pairs[new] // size, pairs[new] % size, np.diff(np.append(new, len(pairs)))
-    ints = (pa.array(x.astype(np.int32)) for x in (shard_of(a, b, n_tries), a, b, c[new]))
-    return pa.RecordBatch.from_arrays([*ints, pa.array(n, pa.int64())], names=["shard", "a", "b", "c", "n"])
+    """Each n-gram of these blocks once, with its count, packed for each shard."""
+    a, b, c, seen = np.concatenate(grams, axis=1)
+    shard, pairs = shard_of(a, b, seen, n_tries), a * size + b
+    order = np.lexsort((c, pairs, shard))
+    shard, pairs, c = shard[order], pairs[order], c[order]
+    new = _firsts(shard, pairs, c)
+    n = np.diff(np.append(new, len(pairs)))
+    shard, pairs, c = shard[new], pairs[new], c[new]
+    begin = _firsts(shard)
+    blobs = [_packed(pairs[lo:hi], c[lo:hi], n[lo:hi]) for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(shard)], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(shard[begin].astype(np.int32)), pa.array(blobs, pa.binary())], names=["shard", "grams"])
 
 
 def _count_ngrams(folder: str, shards: list, files: list, size: int, n_tries: int):
@@ -242,14 +282,19 @@ def _count_ngrams(folder: str, shards: list, files: list, size: int, n_tries: in
         waiting, held = [], 0
         for batch in batches:
             for _, _, tokens, _ in _spans(batch.column(0)):
-                a = vocabulary.ids(tokens)
-                b, c = np.append(a[1:], _PAD), np.append(a[2:], [_PAD, _PAD])[: len(a)]
-                c = np.where(b == end, _PAD, c)
-                waiting.append(np.stack([a, b, c])[:, a != end])
-                held += waiting[-1].shape[1]
-                if held >= _AT_ONCE:
-                    yield _summed(waiting, size, n_tries)
-                    waiting, held = [], 0
+                ids = vocabulary.ids(tokens)
+                for lo in range(0, len(ids), _AT_ONCE):
+                    a = ids[lo : lo + _AT_ONCE + 2]
+                    b, c = np.append(a[1:], _PAD), np.append(a[2:], [_PAD, _PAD])[: len(a)]
+                    c = np.where(b == end, _PAD, c)
+                    whole = a != end
+                    whole[_AT_ONCE:] = False
+                    a, b, c = a[whole], b[whole], c[whole]
+                    waiting.append(np.stack([a, b, c, vocabulary.read(a, "counts")]))
+                    held += len(a)
+                    if held >= _AT_ONCE:
+                        yield _summed(waiting, size, n_tries)
+                        waiting, held = [], 0
         if held:
             yield _summed(waiting, size, n_tries)
 
@@ -267,10 +312,13 @@ def _firsts(*keys: np.ndarray) -> np.ndarray:
 
 def _store_trie(folder: str, size: int, words_folder: str, shards: list, files: list):
     def store(key: tuple, table: pa.Table) -> pa.Table:
-        a, b, c, n = (table.column(x).to_numpy().astype(_I) for x in "abcn")
-        order = np.lexsort((c, b, a))
-        a, b, c, n = a[order], b[order], c[order], n[order]
-        two = _firsts(a, b)
+        pairs, c, n = (np.concatenate(x) for x in zip(*map(_unpacked, table.column("grams").to_pylist()), strict=True))
+        order = np.lexsort((c, pairs))
+        pairs, c, n = pairs[order], c[order], n[order]
+        new = _firsts(pairs, c)
+        pairs, c, n = pairs[new], c[new], np.add.reduceat(n, new)
+        a, b = pairs // size, pairs % size
+        two = _firsts(pairs)
         one = _firsts(a[two])
         pairs = np.add.reduceat(n, two)
         rank1 = np.repeat(np.arange(len(one)), np.diff(np.append(one, len(two))))
@@ -317,8 +365,10 @@ class Model:
         return Scorer(self)
 
 
-def shard_of(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    return ((a * 7919 + b) * 40503 >> 16) % n
+def shard_of(a: np.ndarray, b: np.ndarray, seen: np.ndarray, n: int) -> np.ndarray:
+    """The shard of a pair of words, of which the first is ``seen`` times in all: one for most words."""
+    spread = 1 + seen * _PARTS // SHARD
+    return ((a * 40503 >> 4) + (b * 7919 >> 2) % spread * 104729) % n
 
 
 class Scorer:
@@ -333,7 +383,7 @@ class Scorer:
             if s not in self.m.tries:
                 self._tries[s] = None
             else:
-                parts = _open(f"{self.m.folder}/{self.m.tries[s]}")
+                parts = _open(self.m.folder, self.m.tries[s])
                 level = lambda k: Rising({p[len(k) + 1 :]: v for p, v in parts.items() if p.startswith(k + ".")})
                 self._tries[s] = (*(level(k) for k in ("one", "two", "three", "to_two", "to_three")), parts["two.p"], parts["two.rest"], parts["three.p"])
         return self._tries[s]
@@ -356,7 +406,7 @@ class Scorer:
         then[:-1][first[1:]] = -1
         # in order of the pairs, so that searches are near each other and a pair is sought once
         key = before[paired] * size + ids[paired]
-        shard = shard_of(before[paired], ids[paired], self.m.n_tries) if len(paired) else paired
+        shard = shard_of(before[paired], ids[paired], total[paired], self.m.n_tries) if len(paired) else paired
         order = np.lexsort((key, shard))
         paired, shard, key = paired[order], shard[order], key[order]
         for lo, hi in zip(starts := _firsts(shard) if len(shard) else [], np.append(starts[1:], len(shard)) if len(shard) else [], strict=True):
@@ -393,7 +443,7 @@ class Scorer:
 def fit(docs: DataFrame, shard: int = SHARD) -> tuple[Model, Workspace]:
     """A model of the texts of all rows of docs; a null text counts as an empty one."""
     work = Workspace(docs.sparkSession, "ngram-lm")
-    folder = work.local_path("files")
+    folder = work.store_path("files")
     texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"))
     counted = work.write(texts.mapInArrow(_count_words, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "words")
     size, total = counted.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -407,8 +457,7 @@ def fit(docs: DataFrame, shard: int = SHARD) -> tuple[Model, Workspace]:
     files = [listed.get(s, (None, 0))[0] for s in range(n_parts)]
     # no more n-grams than tokens; dealt by shard once, for the sums and the tries alike
     n_tries = max(1, -(-int(total) // shard))
-    grams = texts.mapInArrow(_count_ngrams(folder, shards, files, size, n_tries), "shard int, a int, b int, c int, n long").repartition("shard")
-    tries = grams.groupBy("shard", "a", "b", "c").agg(F.sum("n").alias("n")).groupBy("shard")
+    tries = texts.mapInArrow(_count_ngrams(folder, shards, files, size, n_tries), "shard int, grams binary").groupBy("shard")
     built = work.write(tries.applyInArrow(_store_trie(folder, size, folder, shards, files), "shard int, file string, w long, kinds long"), "trie-files")
     names = {r["shard"]: r["file"] for r in built.select("shard", "file").distinct().collect()}
     starts = F.lit(0)

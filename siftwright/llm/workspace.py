@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
-from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,12 +36,10 @@ class Workspace:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def local_path(self, name: str) -> str:
-        """The same place as a path for open() and mmap; the shared folder must be mounted."""
-        url = urlparse(self.path(name))
-        if url.scheme not in ("", "file"):
-            raise ValueError(f"memory-mapped levels need a mounted shared folder, not {url.scheme}:")
-        return url.path
+    def store_path(self, name: str) -> str:
+        """The same place as pyarrow's file systems take it."""
+        path = self.path(name)
+        return path if ":" in path.split("/")[0] else os.path.abspath(path)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """The rows of df, from a parquet table instead of from its lineage."""
