@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import os
 import re
 import uuid
 from collections.abc import Iterator
@@ -23,11 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwright.llm.workspace import Workspace
+from siftwright.llm.workspace import Workspace, small
 
 RANGE = 4 << 20  # bytes that a task scans for records
 FILE = 64 << 20  # bytes after which a task begins another archive
-_SALTS = 8  # parts of a group of equal payloads
+_HELD = 8 << 20  # bytes of payloads that a reader holds
 _MAGIC = b"WARC/1.0\r\n"
 _LONGEST_HEADER = 1 << 16
 _LONGEST_TARGET = 1 << 15  # the other fields of a header have less than a thousand bytes
@@ -99,7 +98,7 @@ def _payload(html: Column) -> Column:
     return F.coalesce(html, F.lit("")).cast("binary")
 
 
-def write_warc(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, file_bytes: int = FILE) -> DataFrame:
+def write_warc(pages: DataFrame, folder: str, work: Workspace, min_revisit_bytes: int = 0, file_bytes: int = FILE) -> DataFrame:
     """Write a record per row of pages (page_id, url, html); (file, n_bytes) to be read back.
 
     Of records with equal payloads of at least min_revisit_bytes, that with the largest
@@ -112,11 +111,10 @@ def write_warc(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, file_b
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     key = F.struct(F.sha1(_payload(F.col("html"))).alias("sha"), F.octet_length(_payload(F.col("html"))).alias("size"))
-    # only groups of several rows are joined; their one id goes to each part of the group
+    # only groups of several rows are joined, and payloads are moved only if these are many
     firsts = rows.select(key.alias("key"), "page_id").where(F.col("key.size") >= min_revisit_bytes).groupBy("key").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    firsts = firsts.where((F.col("n") > 1) & F.col("first").isNotNull()).select("key", "first", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
-    salted = rows.withColumn("key", key).withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(_SALTS)).cast("int"))
-    joined = salted.join(firsts, ["key", "salt"], "left")
+    firsts = work.write(firsts.where((F.col("n") > 1) & F.col("first").isNotNull()).select("key", "first"), "repeated")
+    joined = rows.withColumn("key", key).join(small(firsts, F.lit(80)), "key", "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select("page_id", "url", "html", F.when(revisit, F.col("first")).alias("ref"), revisit.alias("revisit")).mapInArrow(_writer(folder, file_bytes), _FILES)
 
@@ -170,6 +168,7 @@ def _reader(folder: str):
         for batch in batches:
             for file, at, hi in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 out: list[tuple] = []
+                held = 0
                 with store.open_input_file(f"{root}/{file}") as f:
                     while at < hi:
                         f.seek(at)
@@ -188,9 +187,10 @@ def _reader(folder: str):
                             raise ValueError(f"{file}: the record at {at} is cut off")
                         out.append(_record(head[: begin - 4], block))
                         at += begin + size + 4
-                        if len(out) >= 500:
+                        held += size + 500
+                        if held >= _HELD:
                             yield _batch(out, names, kinds)
-                            out = []
+                            out, held = [], 0
                 yield _batch(out, names, kinds)
 
     return read
@@ -235,11 +235,15 @@ def read_warc(files: DataFrame, folder: str, work: Workspace, range_bytes: int =
         step = reached.join(jumps, ["file", "at"]).select("file", F.col("to").alias("at"))
         reached = work.write(reached.unionByName(step).distinct(), f"reached-{k}")
         before, count = count, reached.count()
+        if k:
+            work.drop(f"reached-{k - 1}")
         if count == before:
             break
         # what is jumped over doubles each round
         further = jumps.select("file", F.col("at").alias("from"), F.col("to").alias("at")).join(jumps, ["file", "at"])
         jumps = work.write(further.select("file", F.col("from").alias("at"), "to"), f"jumps-{k}")
+        if k:
+            work.drop(f"jumps-{k - 1}")
     ends = reached.withColumnRenamed("at", "n_bytes")
     cut = files.where(F.col("n_bytes") > 0).join(ends, ["file", "n_bytes"], "left_anti").limit(1).collect()
     if cut:
@@ -256,7 +260,6 @@ def _spread(rows: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame, min_revisit_bytes: int = 0, file_bytes: int = FILE, range_bytes: int = RANGE) -> DataFrame:
     """pages written as archives in the shared folder and read back, see both functions."""
     work = Workspace(pages.sparkSession, "warc")
-    folder = work.path("archives")
-    folder = folder if ":" in folder.split("/")[0] else os.path.abspath(folder)
-    files = work.write(write_warc(pages, folder, min_revisit_bytes, file_bytes), "files")
+    folder = work.store_path("archives")
+    files = work.write(write_warc(pages, folder, work, min_revisit_bytes, file_bytes), "files")
     return read_warc(files, folder, work, range_bytes)
