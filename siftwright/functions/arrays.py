@@ -18,10 +18,16 @@ def total(values: Column) -> Column:
 
 def log_softmax(logits: Column) -> Column:
     """Logarithms of the probabilities of logits; the largest is taken off first."""
-    wide = logits.cast("array<double>")
-    top = F.array_max(wide)
-    mass = F.ln(total(F.transform(wide, lambda x: F.exp(x - top)))) + top
-    return F.transform(wide, lambda x: x - mass)
+    # bound once, in arrays of one; as plain expressions they would be computed for every element
+    def shifted(x: Column) -> Column:
+        top = F.array_max(x)
+        return F.transform(F.array(F.struct(x.alias("x"), top.alias("top"))), normal)[0]
+
+    def normal(v: Column) -> Column:
+        mass = F.ln(F.aggregate(v["x"], F.lit(0.0), lambda s, y: s + F.exp(y - v["top"]))) + v["top"]
+        return F.transform(F.array(F.struct(v["x"].alias("x"), mass.alias("mass"))), lambda w: F.transform(w["x"], lambda y: y - w["mass"]))[0]
+
+    return F.transform(F.array(logits.cast("array<double>")), shifted)[0]
 
 
 def reverse_kl(log_p: Column, log_q: Column) -> Column:

@@ -49,6 +49,12 @@ def unescape_html(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else html.unescape(s))
 
 
+def unescaped(text: Column) -> Column:
+    """HTML character references resolved once; Python sees only texts that have one."""
+    has = F.contains(text, F.lit("&"))
+    return F.when(has, unescape_html(F.when(has, text))).otherwise(text)
+
+
 def plain_words(text: Column) -> Column:
     """Lower case without accents, white space collapsed and trimmed."""
     plain = text.rlike(r"^[\x00-\x7F]*$")

@@ -6,9 +6,11 @@ rows of the pool are never made.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 
 def shingles(plain: Column, k: int) -> Column:
@@ -29,8 +31,8 @@ def shingles(plain: Column, k: int) -> Column:
 def shared(pool: DataFrame, pool_id: str, bench: DataFrame, bench_id: str) -> DataFrame:
     """(pool_id, bench_id, inter, n_union) of all pairs that share an element of ``items``."""
     # sizes are taken below the explosion, which otherwise copies the whole set to each of its rows
-    left = pool.select(pool_id, "items", F.size("items").alias("__n")).select(pool_id, "__n", F.explode("items").alias("__item"))
     right = bench.select(bench_id, "items", F.size("items").alias("__m")).select(bench_id, "__m", F.explode("items").alias("__item"))
+    left = pool.select(pool_id, "items", F.size("items").alias("__n")).select(pool_id, "__n", F.explode("items").alias("__item"))
     pairs = left.join(right, "__item").groupBy(pool_id, bench_id).agg(F.count(F.lit(1)).alias("inter"), F.max(F.col("__n") + F.col("__m")).cast("long").alias("__sum"))
     return pairs.select(pool_id, bench_id, "inter", (F.col("__sum") - F.col("inter")).alias("n_union"))
 
@@ -46,26 +48,55 @@ def accepted(option_sim: Column, stem_sim: Column, generic: Column, least: float
     return (option_sim >= least) & (~generic | (stem_sim >= least_generic))
 
 
-def signature(items: Column, slots: int = 128) -> Column:
-    """The smallest hash of a set under each of ``slots`` hash functions; null for an empty set."""
-    return F.when(F.size(items) > 0, F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda p: F.array_min(F.transform(items, lambda s: F.xxhash64(s, p)))))
+@F.pandas_udf(ArrayType(LongType()))
+def _signature(items: pd.Series) -> pd.Series:
+    """The least value of a set's 64-bit hashes under each of 128 permutations."""
+    factors = np.random.default_rng(12).integers(1, 2**63, 128, dtype=np.uint64) | np.uint64(1)
+    shifts = np.random.default_rng(13).integers(0, 2**63, 128, dtype=np.uint64)
 
+    def of(hashes) -> np.ndarray | None:
+        if hashes is None or not len(hashes):
+            return None
+        x = np.asarray(hashes).astype(np.int64).view(np.uint64)
+        out = np.full(128, np.iinfo(np.uint64).max, np.uint64)
+        for lo in range(0, len(x), 4096):
+            y = x[lo : lo + 4096, None] * factors + shifts
+            y ^= y >> np.uint64(29)
+            y *= np.uint64(0xBF58476D1CE4E5B9)
+            out = np.minimum(out, (y ^ (y >> np.uint64(32))).min(axis=0))
+        return out.view(np.int64)
 
-def band_candidates(pool: DataFrame, pool_id: str, bench: DataFrame, bench_id: str, slots: int = 128, rows: int = 8) -> DataFrame:
-    """(pool_id, bench_id, estimate) of pairs that agree in a whole band, unverified.
+    return items.map(of)
 
-    estimate is the share of equal slots. A signature stays with the benchmark; the pool's
-    goes along with its bands, so it is computed once.
-    """
 
-    def banded(side: DataFrame, key: str, name: str) -> DataFrame:
-        signed = side.select(key, signature(F.col("items"), slots).alias(name)).where(F.col(name).isNotNull())
-        bands = F.transform(F.sequence(F.lit(0), F.lit(slots // rows - 1)), lambda b: F.xxhash64(b, F.array_join(F.slice(F.col(name).cast("array<string>"), b * rows + 1, rows), ",")))
-        return signed.select(key, name, F.explode(bands).alias("__band"))
+def signature(items: Column) -> Column:
+    """128 minima of a set of strings, null for an empty set; strings are hashed once, in the JVM."""
+    return _signature(F.transform(items, lambda s: F.xxhash64(s)))
+
 
-    met = banded(pool, pool_id, "__s").join(banded(bench, bench_id, "__t"), "__band")
-    equal = F.size(F.filter(F.zip_with("__s", "__t", lambda s, t: s == t), lambda x: x)) / slots
-    return met.groupBy(pool_id, bench_id).agg(F.max(equal).alias("estimate"))
+def bands_for(least: float, slots: int = 128, recall: float = 0.999) -> int:
+    """The most slots in a band such that a pair of similarity ``least`` meets with chance ``recall`` in some band."""
+    return max(r for r in range(1, slots + 1) if r == 1 or (slots % r == 0 and 1 - (1 - least**r) ** (slots // r) >= recall))
+
+
+def verified_candidates(pool: DataFrame, pool_id: str, bench: DataFrame, bench_id: str, least: float, slots: int = 128) -> DataFrame:
+    """(pool_id, bench_id, jaccard) of pairs that agree in a band and are at least that similar.
+
+    Signatures are cut into bands for ``least``; only ids meet, and the sets of the pairs
+    that met are compared exactly.
+    """
+    rows = bands_for(least, slots)
+
+    def banded(side: DataFrame, key: str) -> DataFrame:
+        signed = side.select(key, signature(F.col("items")).alias("__s")).where(F.col("__s").isNotNull())
+        bands = F.transform(F.sequence(F.lit(0), F.lit(slots // rows - 1)), lambda b: F.struct(b.alias("at"), F.xxhash64(F.slice("__s", b * rows + 1, rows)).alias("h")))
+        return signed.select(key, F.explode(bands).alias("__band"))
+
+    met = banded(pool, pool_id).join(banded(bench, bench_id), "__band").select(pool_id, bench_id).distinct()
+    sets = met.join(pool.select(pool_id, F.col("items").alias("__x")), pool_id).join(bench.select(bench_id, F.col("items").alias("__y")), bench_id)
+    both = F.size(F.array_intersect("__x", "__y"))
+    sim = both / (F.size("__x") + F.size("__y") - both)
+    return sets.select(pool_id, bench_id, sim.alias("jaccard")).where(F.col("jaccard") >= least)
 
 
 def per_split_sample(rows: DataFrame, split: str, key: Column, cap: int) -> DataFrame:

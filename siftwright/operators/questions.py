@@ -73,3 +73,26 @@ def from_labels(rows: DataFrame, source: str = "mmlu_italian") -> DataFrame:
     options, place = _letters(F.col("choices_translation")), F.col("label").cast("int")
     answer = F.when(place >= 0, F.get(options, place)["letter"])
     return _finish(rows, F.col("input_translation"), options, answer, _topic(F.col("metadata.subject")), source)
+
+
+def normal_options(options: Column) -> Column:
+    """Options as strings, each a JSON object with key and value, one of a letter and its text, or the text itself."""
+    # The letters of options that have none of their own.
+    letters = F.array(*map(F.lit, "ABCDEFGHIJ"))
+
+    def option(o: Column, i: Column) -> Column:
+        table = F.from_json(o, "map<string,string>")
+        value, key = F.get_json_object(o, "$.value"), F.nullif(F.get_json_object(o, "$.key"), F.lit(""))
+        letter = F.when(value.isNotNull(), F.coalesce(key, F.get(letters, i))).when(table.isNotNull(), F.get(F.map_keys(table), F.lit(0))).otherwise(F.get(letters, i))
+        text = F.coalesce(value, F.get(F.map_values(table), F.lit(0)), o)
+        return F.struct(letter.alias("letter"), stripped(text).alias("text"))
+
+    return F.transform(options, option)
+
+
+def from_split(rows: DataFrame, split: str) -> DataFrame:
+    """Rows question, options (strings, see normal_options), answer, category, macro of one split; rows without question or options go."""
+    category = F.coalesce(F.nullif("category", F.lit("")), F.nullif("macro", F.lit("")), F.lit(split))
+    question = stripped(F.coalesce("question", F.lit("")))
+    out = rows.select(question.alias("question"), normal_options(F.col("options")).alias("options"), F.coalesce("answer", F.lit("")).alias("answer"), category.alias("category"), F.lit(f"pinocchio_text/{split}").alias("source"))
+    return out.where((F.col("question") != "") & (F.size("options") > 0))

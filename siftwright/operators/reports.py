@@ -19,7 +19,7 @@ def gains_by(rows: DataFrame, before: Column, after: Column, by: str) -> DataFra
 
 
 def running_accuracy(rows: DataFrame, place: str, right: Column, block: int = 100_000) -> DataFrame:
-    """(place, seen, n_right) up to each place, which is a whole number from 0, unique.
+    """(place, seen, n_right) up to each place, a unique whole number; places may have gaps.
 
     Sums of blocks of places are carried forward first, so that only one number for each
     block is ordered in one task; the rest runs within blocks.
@@ -33,6 +33,20 @@ def running_accuracy(rows: DataFrame, place: str, right: Column, block: int = 10
     return joined.select(place, (F.col("__n") + F.count(F.lit(1)).over(within)).alias("seen"), (F.col("__r") + F.sum("__right").over(within)).alias("n_right"))
 
 
+def with_position(rows: DataFrame, key: str, block: int = 100_000) -> DataFrame:
+    """rows with position, from 0 by a whole-number key; keys may have gaps, a repeated key has equal positions of its first.
+
+    Counts of blocks of keys are carried forward, so that only one number for each block is
+    ordered in one task. A null key has a null position.
+    """
+    own = rows.withColumn("__block", F.floor(F.col(key) / block))
+    before = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = own.where(F.col(key).isNotNull()).groupBy("__block").agg(F.count(F.lit(1)).alias("__n"))
+    carried = counts.select("__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n"))
+    nth = F.rank().over(Window.partitionBy("__block").orderBy(key))
+    return own.join(carried, "__block", "left").withColumn("position", F.col("__n") + nth - 1).drop("__block", "__n")
+
+
 def cumulative_counts(rows: DataFrame, value: str, edges: tuple[float, ...]) -> DataFrame:
     """(edge, n): how many values reach each edge; one pass, one row for each edge."""
     counted = rows.agg(*(F.count_if(F.col(value) >= e).alias(str(k)) for k, e in enumerate(edges)))

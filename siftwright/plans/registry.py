@@ -13,10 +13,10 @@ from siftwright.functions.prompts import DIRECT, lettered, user_query
 from siftwright.functions.text import FRAME_WORDS, content_tokens, first_capital, letters_only, lone_letter, plain_words, question_hash
 from siftwright.operators.chat import valid_conversations
 from siftwright.operators.nearest import nearest
-from siftwright.operators.overlap import band_candidates, best_match, per_split_sample, shared, shingles
+from siftwright.operators.overlap import best_match, per_split_sample, shared, shingles, verified_candidates
 from siftwright.operators.pool import dev_split, keep_first, upweight, with_keys, without_keys
 from siftwright.operators.questions import FOREIGN, LANGUAGE, about_language
-from siftwright.operators.reports import accuracy, cumulative_counts, gains_by, running_accuracy
+from siftwright.operators.reports import accuracy, cumulative_counts, gains_by, running_accuracy, with_position
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -98,11 +98,12 @@ def answers_parsed(spark, sf_dir):
     return said.select("conv_id", "turn", first_capital(F.col("text")).alias("first_capital"), lone_letter(F.col("text")).alias("lone_letter"))
 
 
-@_query("WITH n AS (SELECT count(*) AS n FROM documents) SELECT doc_id FROM documents, n WHERE doc_id % greatest(1, n // 100) = 0 AND doc_id // greatest(1, n // 100) < 100")
+@_query("WITH n AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM labels) SELECT doc_id FROM n WHERE pos % greatest(1, n // 100) = 0 AND pos // greatest(1, n // 100) < 100")
 def stride_sample_100(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select("doc_id")
-    step = max(1, docs.count() // 100)
-    return docs.where((F.col("doc_id") % step == 0) & (F.floor(F.col("doc_id") / step) < 100))
+    rows = _table(spark, sf_dir, "labels").select("doc_id")
+    step = max(1, rows.count() // 100)
+    at = F.col("position")
+    return with_position(rows, "doc_id").where((at % step == 0) & (F.floor(at / step) < 100)).select("doc_id")
 
 
 @_query("SELECT count_if(quality = 1 AND toxic = 0) AS both_right, count_if(quality = 1 AND toxic = 1) AS broken, count_if(quality = 0 AND toxic = 0) AS fixed, count_if(quality = 0 AND toxic = 1) AS both_wrong FROM labels")
@@ -226,13 +227,17 @@ def shingle_leak_sweep(spark, sf_dir):
     return F.broadcast(every).join(hits, "threshold", "left").groupBy("threshold").agg(F.countDistinct("doc_id").alias("leaked_rows"), F.countDistinct("item_id").alias("contaminated"))
 
 
-def minhash_candidates(spark, sf_dir):
-    """Unverified MinHash candidates; other engines hash otherwise, so there is no SQL twin."""
-    docs, bench = _shingled(spark, sf_dir)
-    return band_candidates(docs, "doc_id", bench, "item_id")
+SURE = 0.1  # of the similarities that this small data reaches
 
 
-QUERIES["minhash_candidates"] = minhash_candidates
+@_query(f"WITH {_pairs_sql(_runs_sql)} SELECT doc_id, item_id, inter / n_union AS jaccard FROM pairs WHERE inter / n_union >= {SURE}")
+def minhash_candidates(spark, sf_dir):
+    """Pairs that meet in a band of one slot among 128, verified by their exact similarity.
+
+    At a similarity of 0.1 a pair is missed with a chance of 0.9 ** 128, about 1.4e-6.
+    """
+    docs, bench = _shingled(spark, sf_dir)
+    return verified_candidates(docs, "doc_id", bench, "item_id", SURE)
 
 
 @_query(f"WITH {_pairs_sql(_lines_sql)} SELECT item_id, doc_id, inter, n_union FROM pairs QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY inter / n_union DESC, doc_id) = 1")
@@ -304,6 +309,7 @@ def accuracy_running(spark, sf_dir):
     return running_accuracy(_table(spark, sf_dir, "labels"), "doc_id", F.col("quality") == 1)
 
 
+# Edges of cumulative coverage, after two that this small data reaches.
 _REACHED = (0.3, 0.4, 0.85, 0.9, 0.95)
 
 

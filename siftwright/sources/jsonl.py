@@ -31,3 +31,79 @@ def run_of(file: str = "file") -> tuple:
 def report(row: DataFrame) -> str:
     """A one-row result as indented JSON."""
     return json.dumps(row.first().asDict(recursive=True), indent=2, ensure_ascii=False)
+
+
+_PAIRS = "array<array<string>>"
+
+
+def _pairs(options) -> F.Column:
+    return F.transform(options, lambda o: F.struct(F.get(o, F.lit(0)).alias("letter"), F.get(o, F.lit(1)).alias("text")))
+
+
+def _one_key(options) -> F.Column:
+    """Options as maps of one letter each, in their order."""
+    entries = F.flatten(F.transform(options, F.map_entries))
+    return F.transform(entries, lambda e: F.struct(e["key"].alias("letter"), e["value"].alias("text")))
+
+
+def read_pool(spark: SparkSession, path: str) -> DataFrame:
+    """Pool rows: question, options as (letter, text), answer, category, source."""
+    rows = read_jsonl(spark, path, f"question string, options {_PAIRS}, answer string, category string, source string")
+    return rows.withColumn("options", _pairs(F.col("options")))
+
+
+def read_bench(spark: SparkSession, path: str) -> DataFrame:
+    """Benchmark rows, options as one-letter maps; a missing macro_category is an empty macro."""
+    rows = read_jsonl(spark, path, "question string, options array<map<string,string>>, answer string, category string, macro_category string")
+    return rows.select("question", _one_key(F.col("options")).alias("options"), "answer", "category", F.coalesce("macro_category", F.lit("")).alias("macro"))
+
+
+def read_shots(spark: SparkSession, path: str, most: int = 1000) -> DataFrame:
+    """Few-shot rows as benchmark rows without macro; more than ``most`` are an error, since they go to every prompt."""
+    rows = read_bench(spark, path).drop("macro")
+    if len(rows.limit(most + 1).collect()) > most:
+        raise ValueError(f"{path} has more than {most} shots")
+    return rows
+
+
+def unicode_lines(texts: DataFrame, column: str = "value") -> DataFrame:
+    """Rows of text cut at every line break that Unicode knows; a final break begins no line."""
+    cut = F.split(F.regexp_replace(column, r"(?:\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ])$", ""), r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]")
+    return texts.select(F.explode(cut).alias("line"))
+
+
+def read_splits(spark: SparkSession, paths: dict[str, str], schema: str) -> tuple[DataFrame, list[str]]:
+    """All splits in one table with a column ``split``, and a warning for each split that can't be read."""
+    found, warnings = spark.createDataFrame([], f"{schema}, split string"), []
+    for split, path in paths.items():
+        try:
+            found = found.unionByName(read_jsonl(spark, path, schema).withColumn("split", F.lit(split)))
+        except Exception as fault:  # a source that fails is left out and said
+            warnings.append(f"{split}: {fault}")
+    return found, warnings
+
+
+def result_records(rows: DataFrame, model: str, mode: str) -> DataFrame:
+    """Rows with an array ``results`` (index, output, answer) as records; of equal indexes the last in the array stays."""
+    each = rows.select(F.posexplode("results").alias("at", "r")).select("at", "r.*")
+    rest = [c for c in each.columns if c not in ("at", "index")]
+    last = each.groupBy("index").agg(F.max_by(F.struct(*rest), "at").alias("last"))
+    return last.select(F.lit(model).alias("model"), F.lit(mode).alias("mode"), "index", "last.*")
+
+
+def newest_steps(names: list[str], keep: int) -> list[str]:
+    """Which of step_N go when the newest ``keep`` stay; other names are never listed."""
+    steps = sorted((n for n in names if n.startswith("step_") and n[5:].isdigit()), key=lambda n: int(n[5:]))
+    return steps[: max(0, len(steps) - keep)]
+
+
+def with_overrides(config: dict, overrides: list[str]) -> dict:
+    """config with key=value strings applied, each value read as the kind that the key has; an unknown key is an error."""
+    out = dict(config)
+    for item in overrides:
+        key, _, value = item.partition("=")
+        if key not in out:
+            raise KeyError(key)
+        kind = type(out[key])
+        out[key] = value.lower() in ("1", "true", "yes") if kind is bool else value if out[key] is None else kind(value)
+    return out

@@ -9,7 +9,7 @@ from siftwright.functions.answers import announced_answer, robust_answer
 from siftwright.functions.arrays import jaccard
 from siftwright.functions.prompts import messages, plain_prompt
 from siftwright.functions.text import plain_words
-from siftwright.operators.overlap import band_candidates, shared, shingles
+from siftwright.operators.overlap import bands_for, shared, shingles, verified_candidates
 from siftwright.operators.questions import from_labels, from_letters, from_quiz
 from siftwright.operators.reports import running_accuracy
 from siftwright.sources.jsonl import read_jsonl, write_jsonl
@@ -61,8 +61,10 @@ def test_shared_shingles_and_bands(spark):
     want = {(a, b): (len(of(s) & of(t)), len(of(s) | of(t))) for a, s in texts.items() for b, t in texts.items() if of(s) & of(t)}
     right = rows.withColumnRenamed("i", "j")
     assert {(r.i, r.j): (r.inter, r.n_union) for r in shared(rows, "i", right, "j").collect()} == want
-    met = {(r.i, r.j): r.estimate for r in band_candidates(rows, "i", right, "j").collect()}
-    assert met[(1, 2)] == 1.0 and (3, 3) in met and not {4, 5} & {i for p in met for i in p}
+    for least in (0.1, 0.9, 1.0):
+        met = {(r.i, r.j): r.jaccard for r in verified_candidates(rows, "i", right, "j", least).collect()}
+        assert met == {k: pytest.approx(a / b) for k, (a, b) in want.items() if a / b >= least}
+    assert [bands_for(x) for x in (0.1, 0.7, 1.0)] == [1, 4, 128]
 
 
 def test_small_functions(spark, tmp_path):
