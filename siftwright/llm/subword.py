@@ -170,6 +170,12 @@ def _calibrate(model: Model, rows: list, target: np.ndarray, held: np.ndarray, a
     logits = np.array([rows[i][1] @ model.table[rows[i][0]] for i in held]) + model.bias
     truth = target[held]
     model.temperature = min(np.geomspace(0.25, 4, 33), key=lambda t: -np.log(_softmax(logits / t)[np.arange(len(held)), truth] + 1e-12).mean())
+    # an intercept for each class, by likelihood; drawn to zero as by two rows, so that few rows move it little
+    wanted, shift = np.eye(len(model.classes))[truth], np.zeros(len(model.classes))
+    for _ in range(500):
+        shift += 0.5 * ((wanted - _softmax(logits / model.temperature + shift)).sum(axis=0) - 2 * shift) / (len(held) + 2)
+    model.bias = model.bias + model.temperature * shift
+    logits = logits + model.temperature * shift
     best = _softmax(logits / model.temperature)
     right = best.argmax(axis=1) == truth
     if right.any():
