@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwright.llm.components import connected_components
-from siftwright.llm.workspace import Workspace
+from siftwright.llm.workspace import Workspace, small
 
 THRESHOLD = 0.98
 TILE = 1024  # classes
@@ -31,7 +31,9 @@ CELL_BITS = 12  # leading components whose sides of zero tell a class's cell, at
 _STEPS = (8, 16, 32, 64, 128, 256, 512)  # components after which a comparison stops early
 _SLACK = 1e-9  # above what rounding in the bounds can lose
 _PAIRS = 1 << 16  # cosines computed at once
-_SALTS = 8
+HOT = 1 << 20  # rows of a class that are never brought to one task
+_NEIGHBOURS = 8  # tasks that share the comparisons of one tile
+_CLASS = ["__k1", "__k2"]
 _WORLD = "__label int, __dim int"
 
 
@@ -162,9 +164,11 @@ def _compare(folder: str, threshold: float):
             with store.open_input_file(f"{root}/{name}") as f, np.load(BytesIO(f.read())) as z:
                 return {k: z[k] for k in z.files}
 
+        last, one = None, {}
         for batch in batches:
             for name, other in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                one = load(name)
+                if name != last:
+                    last, one = name, load(name)
                 two = one if other == name else load(other)
                 i, j = candidates(one["rotated"], two["rotated"], threshold)
                 if other == name:
@@ -194,6 +198,23 @@ def _compare(folder: str, threshold: float):
     return compare
 
 
+def _of_each_row(rows: DataFrame, result: DataFrame) -> DataFrame:
+    """rows with the columns of their class in result, null where it isn't listed.
+
+    Classes of many rows are few, so they go to the rows; the rest are joined by a shuffle,
+    from which rows without a class are kept out.
+    """
+    every = small(result, F.lit(48))
+    if every is not result:
+        return rows.join(every, _CLASS, "left")
+    hot = small(result.where(F.col("many") >= HOT), F.lit(48))
+    rest = rows.where(F.col("__k1").isNotNull()).join(hot, _CLASS, "left_anti").join(result.where(F.col("many") < HOT), _CLASS, "left")
+    none = rows.where(F.col("__k1").isNull())
+    for f in (f for f in result.schema.fields if f.name not in _CLASS):
+        none = none.withColumn(f.name, F.lit(None).cast(f.dataType))
+    return rest.unionByName(rows.join(hot, _CLASS)).unionByName(none)
+
+
 def _comparable(vector: Column) -> Column:
     sound = ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     return F.coalesce(sound & F.exists(vector, lambda x: x != 0), F.lit(False))
@@ -218,12 +239,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     whole = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("int").alias("__label"), v.alias("__v"))
     able = F.col("vec_id").isNotNull() & F.col("__label").isNotNull() & _comparable(F.col("__v"))
     # adding zero makes a negative zero an ordinary one
-    whole = whole.withColumn("__v", F.when(able, F.transform("__v", lambda x: x + F.lit(0.0)))).withColumn("__key", F.when(able, F.xxhash64("__label", "__v")))
-    per_class = whole.where(able).groupBy("__key").agg(F.min("vec_id").alias("__id"), F.count(F.lit(1)).alias("__many"), F.first("__label").alias("__label"), F.first("__v").alias("__v"))
-    classes = work.write(per_class.withColumn("__dim", F.size("__v")), "classes")
+    whole = whole.withColumn("__v", F.when(able, F.transform("__v", lambda x: x + F.lit(0.0))))
+    # a class is told by 128 bits, and numbered once it is written
+    whole = whole.withColumn("__k1", F.when(able, F.xxhash64("__label", "__v"))).withColumn("__k2", F.when(able, F.xxhash64(F.lit(1), "__label", "__v")))
+    per_class = whole.where(able).groupBy(*_CLASS).agg(F.min("vec_id").alias("__id"), F.count(F.lit(1)).alias("__many"), F.first("__label").alias("__label"), F.first("__v").alias("__v"))
+    classes = work.write(per_class.withColumn("__key", F.monotonically_increasing_id()).withColumn("__dim", F.size("__v")), "classes")
     axes = principal_axes(classes)
     names = "__key long, __id long, __many long, __label int, __v array<double>, __dim int"
-    placed = work.write(classes.mapInArrow(_rotate(axes), f"{names}, __cell int"), "placed")
+    placed = work.write(classes.select("__key", "__id", "__many", "__label", "__v", "__dim").mapInArrow(_rotate(axes), f"{names}, __cell int"), "placed")
     # a label has about as many cells as it fills tiles, so that few classes are one tile
     per_label = placed.groupBy("__label", "__dim").agg(F.floor(F.greatest(F.lit(0.0), F.log2(F.count(F.lit(1)) / tile))).cast("int").alias("__bits"))
     placed = placed.join(per_label, ["__label", "__dim"]).withColumn("__cell", F.col("__cell").bitwiseAND(F.expr("shiftleft(1, least(__bits, %d)) - 1" % CELL_BITS))).drop("__bits")
@@ -238,17 +261,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     apart = F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g)
     near = tiles.join(other, ["__label", "__dim"]).where((F.col("tile") <= F.col("tile2")) & (apart <= 2 - 2 * threshold + _SLACK))
     n_tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = work.write(near.select("tile", "tile2").repartition(n_tasks, "tile", "tile2").mapInArrow(_compare(folder, threshold), "id long, key long, links long, other long"), "found")
+    # a task reads a tile once for all its comparisons
+    dealt = near.select("tile", "tile2").repartition(n_tasks, "tile", F.pmod(F.xxhash64("tile2"), F.lit(_NEIGHBOURS))).sortWithinPartitions("tile")
+    found = work.write(dealt.mapInArrow(_compare(folder, threshold), "id long, key long, links long, other long"), "found")
     links = found.where(F.col("links") > 0).groupBy(F.col("key").alias("__key")).agg(F.sum("links").alias("__links"))
     edges = found.where(F.col("links") == 0).select(F.col("id").alias("a"), F.col("other").alias("b"))
     parts = connected_components(edges, work)
     known = classes.join(links, "__key", "left").join(parts, classes["__id"] == parts["node"], "left")
     known = known.where((F.col("__many") > 1) | F.col("__links").isNotNull() | F.col("component").isNotNull())
-    salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("__salt")
-    result = work.write(known.select("__key", (F.coalesce("__links", F.lit(0)) + F.col("__many") - 1).alias("n_links"), F.coalesce("component", "__id").alias("component"), salts), "result")
-    # a class of very many rows is joined in parts
-    rows = whole.select("vec_id", "__key", F.pmod(F.xxhash64("vec_id"), F.lit(_SALTS)).cast("int").alias("__salt"))
-    out = rows.join(result, ["__key", "__salt"], "left")
+    links_of = (F.coalesce("__links", F.lit(0)) + F.col("__many") - 1).alias("n_links")
+    result = work.write(known.select(*_CLASS, F.col("__many").alias("many"), links_of, F.coalesce("component", "__id").alias("component")), "result")
+    out = _of_each_row(whole.select("vec_id", *_CLASS), result)
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 

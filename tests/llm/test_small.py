@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from siftwright.llm import embedding_dedup, mixing
+from siftwright.llm import embedding_dedup, mixing, workspace
 from siftwright.llm.embedding_dedup import near_duplicates
 from siftwright.llm.mixing import mix_sources, n_words
 from siftwright.llm.warc import round_trip
@@ -44,8 +44,10 @@ def test_archives_give_back_every_page(spark, range_bytes):
     assert round_trip(pages.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("tile", [1024, 7])
-def test_near_duplicates_are_those_of_all_pairs(spark, tile):
+@pytest.mark.parametrize(("tile", "broadcast"), [(1024, 1 << 20), (7, 1 << 20), (7, -1)])
+def test_near_duplicates_are_those_of_all_pairs(spark, monkeypatch, tile, broadcast):
+    monkeypatch.setattr(workspace, "BROADCAST_BYTES", broadcast)
+    monkeypatch.setattr(embedding_dedup, "HOT", 4)
     r = np.random.default_rng(5)
     centres = r.normal(size=(6, 24))
     rows = [(k, (centres[k % 6] + r.normal(size=24) * r.choice([0.0, 0.05, 0.12, 0.2])).tolist(), int(k % 2)) for k in range(150)]
@@ -62,6 +64,7 @@ def test_near_duplicates_are_those_of_all_pairs(spark, tile):
             seen |= new
             todo += new
         assert got[i] == (len(links.get(i, ())), min(seen), min(seen) == i)
+    assert len(got) == vectors.count() == near_duplicates(vectors, tile=tile).count()
     assert near_duplicates(vectors.limit(0)).count() == 0
 
 
