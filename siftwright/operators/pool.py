@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def keep_first(rows: DataFrame, key: Column, order: list[Column]) -> DataFrame:
-    """The first row of each key in the given order; the order must be total for a fixed result."""
-    nth = F.row_number().over(Window.partitionBy("__key").orderBy(*order))
-    return rows.withColumn("__key", key).withColumn("__nth", nth).where(F.col("__nth") == 1).drop("__key", "__nth")
+    """The first row of each key in the given ascending order, nulls first; the order must be total for a fixed result.
+
+    An aggregation with partial minima, so that a key of very many rows is shared out.
+    """
+    place = F.struct(*(c.alias(f"o{k}") for k, c in enumerate(order)))
+    firsts = rows.groupBy(key.alias("__key")).agg(F.min_by(F.struct(*rows.columns), place).alias("__row"))
+    return firsts.select("__row.*")
 
 
 def without_keys(rows: DataFrame, key: Column, bench: DataFrame, bench_key: Column) -> DataFrame:
