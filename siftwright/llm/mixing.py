@@ -8,6 +8,7 @@ lasts, and of the block where it ends the documents that still fit.
 
 Blocks are cells of a hash of the id, so a source that holds most rows is as many small
 groups; only sums of blocks are ever ordered, and the documents of one block per source.
+What the rows are joined with is one row for each source: where its last epoch ends.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwright.llm.workspace import Workspace
+from siftwright.llm.workspace import Workspace, small, unused
 
 BLOCKS = 4096  # of each source
 EVENNESS = 0.97  # the target entropy, as a share of the entropy of equal weights
@@ -38,6 +39,11 @@ def _draw(seed: int, epoch: Column, what: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(what.cast("string"), F.lit(""))).cast("binary"))
 
 
+def _width(source: str) -> Column:
+    """Bytes of a row that decides for a source: its name, two draws and three numbers."""
+    return 128 + F.coalesce(F.octet_length(F.col(source).cast("string")), F.lit(0))
+
+
 def exponent(sources: DataFrame, budget: Column, evenness: float = EVENNESS, max_repeats: float = MAX_REPEATS) -> float:
     """The exponent for a table of sources with their share ``p`` (over 0) and ``total``.
 
@@ -103,23 +109,38 @@ def mix_sources(
     plan = work.write(plan.select("source", F.floor(F.col("budget") / F.col("n_source")).cast("int").alias("whole"), (F.col("budget") % F.col("n_source")).alias("rest")), "plan")
 
     met = cells.join(plan, cells["source"].eqNullSafe(plan["source"])).select(cells["source"].alias("source"), "block", "n", "whole", "rest")
-    in_turn = Window.partitionBy("source").orderBy(_draw(seed, F.col("whole"), F.col("block")), "block")
-    upto = work.write(met.withColumn("upto", F.sum("n").over(in_turn.rowsBetween(Window.unboundedPreceding, 0))), "turns")
-    cut = upto.where((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("n") <= F.col("rest")))
-    cut = cut.select(F.col("source").alias("s"), F.col("block").alias("b"), F.col("whole"), (F.col("rest") - (F.col("upto") - F.col("n"))).alias("left"))
-    edge = narrow.join(cut, narrow["source"].eqNullSafe(cut["s"]) & (narrow["block"] == cut["b"])).withColumn("draw", _draw(seed, F.col("whole"), F.col("doc_id")))
+    met = met.withColumn("turn", _draw(seed, F.col("whole"), F.col("block")))
+    in_turn = Window.partitionBy("source").orderBy("turn", "block")
+    upto = met.withColumn("upto", F.sum("n").over(in_turn.rowsBetween(Window.unboundedPreceding, 0)))
+    # sums never fall along the turns, so a turn and one block say where a source's last epoch ends
+    fits = F.col("upto") <= F.col("rest")
+    cut = ~fits & (F.col("upto") - F.col("n") <= F.col("rest"))
+    ends = upto.groupBy("source").agg(
+        F.max("whole").alias("whole"), F.max(F.when(fits, F.col("turn"))).alias("reach"), F.max(F.when(cut, F.col("block"))).alias("edge"), F.max(F.when(cut, F.col("rest") - F.col("upto") + F.col("n"))).alias("left")
+    )
+    ends = work.write(ends.withColumnRenamed("source", "s"), "ends")
+    edge = narrow.join(small(ends, _width("s")), narrow["source"].eqNullSafe(F.col("s")) & (narrow["block"] == F.col("edge"))).withColumn("draw", _draw(seed, F.col("whole"), F.col("doc_id")))
     within = F.sum("n").over(Window.partitionBy("s").orderBy("draw"))  # equal draws stand together
-    last = edge.withColumn("sum", within).where(F.col("sum") <= F.col("left")).groupBy("s", "b").agg(F.max("draw").alias("last"))
-    turns = upto.join(last, upto["source"].eqNullSafe(last["s"]) & (upto["block"] == last["b"]), "left")
-    every = F.col("upto") <= F.col("rest")
-    turns = work.write(turns.select(F.col("source").alias("__source"), F.col("block").alias("__block"), F.col("whole").alias("__whole"), every.alias("__every"), F.col("last").alias("__last")), "decided")
-
-    rows = own.withColumn("__at", _block(F.col("doc_id"), blocks))
-    drawn = rows.join(turns, F.col("source").eqNullSafe(F.col("__source")) & (F.col("__at") == F.col("__block")))
-    partly = F.col("__every") | F.coalesce(_draw(seed, F.col("__whole"), F.col("doc_id")) <= F.col("__last"), F.lit(False))
-    epochs = F.col("__whole") + F.when(partly, 1).otherwise(0)
+    last = edge.withColumn("sum", within).where(F.col("sum") <= F.col("left")).groupBy(F.col("s").alias("l")).agg(F.max("draw").alias("last"))
+    decided = ends.join(last, F.col("s").eqNullSafe(F.col("l")), "left")
+    source, whole, reach, edge_at, last_draw, at = (unused(own, f"__{n}") for n in ("source", "whole", "reach", "edge", "last", "at"))
+    names = {"s": source, "whole": whole, "reach": reach, "edge": edge_at, "last": last_draw}
+    decided = work.write(decided.select(*(F.col(c).alias(n) for c, n in names.items())), "decided")
+
+    rows = own.withColumn(at, _block(F.col("doc_id"), blocks))
+    own_source = rows["source"].eqNullSafe(F.col(source))
+    few = small(decided, _width(source))
+    if few is not decided:
+        drawn = rows.join(few, own_source)
+    else:  # more sources than may be sent anywhere: a source's rows are dealt by block as well
+        cell, block = unused(rows, "__cell"), unused(rows, "__block")
+        spread = cells.select(F.col("source").alias(cell), F.col("block").alias(block)).join(decided, F.col(cell).eqNullSafe(F.col(source)))
+        drawn = rows.join(spread, own_source & (F.col(at) == F.col(block)))
+    by_block, by_row = (_draw(seed, F.col(whole), c) for c in (F.col(at), F.col("doc_id")))
+    partly = (by_block <= F.col(reach)) | ((F.col(at) == F.col(edge_at)) & (by_row <= F.col(last_draw)))
+    epochs = F.col(whole) + F.when(F.coalesce(partly, F.lit(False)), 1).otherwise(0)
     drawn = drawn.where(epochs > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), epochs - 1)))
-    return drawn.select(*own.columns, "epoch", F.concat(_draw(seed, F.col("epoch"), F.col("__block")), _draw(seed, F.col("epoch"), F.col("doc_id"))).alias("draw"))
+    return drawn.select(*own.columns, "epoch", F.concat(_draw(seed, F.col("epoch"), F.col(at)), _draw(seed, F.col("epoch"), F.col("doc_id"))).alias("draw"))
 
 
 #: mix_sources over the table ``documents`` with the default parameters.
