@@ -16,6 +16,7 @@ from siftwright.llm.line_dedup import dedup_lines
 from siftwright.llm.mixing import mix_sources
 from siftwright.llm.ngram_join import jaccard_components
 from siftwright.llm.ngram_lm import score_texts
+from siftwright.llm.pii import KINDS, find_pii, listed
 from siftwright.llm.token_count import count_tokens
 from siftwright.llm.warc import round_trip
 
@@ -98,6 +99,14 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(_table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+@_query
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    base = F.filter("pii", lambda s: s["base"])
+    count = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long")
+    return found.select("doc_id", *(count(k).alias(f"n_{k}") for k in KINDS), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"))
+
+
 @_query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
