@@ -1,109 +1,32 @@
-"""Best cosine neighbours between a pool and a benchmark, block by block.
+"""Best cosine neighbours between a pool and a benchmark, each of any size.
 
 Vectors that are null, zero, or hold null or non-finite components have no neighbours;
-vectors of different lengths aren't compared. The benchmark goes to the tasks in blocks of
-``BLOCK`` vectors; the pool is read once for each block and never moved.
+vectors of different lengths aren't compared. Both sides are written as tiles to the shared
+folder, and a task compares a tile with some of the other side's.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 50_000  # benchmark vectors sent to the tasks at once
-
-
-def _units(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(places, unit vectors) of the comparable vectors of each length."""
-    rows = [None if v is None or None in v else np.asarray(v, np.float64) for v in column.to_pylist()] if column.null_count or column.flatten().null_count else None
-    if rows is None:
-        lengths = np.diff(column.offsets.to_numpy())
-        flat, begins = column.values.to_numpy(zero_copy_only=False).astype(np.float64), column.offsets.to_numpy()
-        of_length = {int(d): (at := np.flatnonzero(lengths == d), flat[begins[at][:, None] + np.arange(d)]) for d in np.unique(lengths) if d}
-    else:
-        places: dict[int, list[int]] = {}
-        for i, v in enumerate(rows):
-            if v is not None and len(v):
-                places.setdefault(len(v), []).append(i)
-        of_length = {d: (np.array(at), np.stack([rows[i] for i in at])) for d, at in places.items()}
-    for at, x in of_length.values():
-        norm = np.sqrt((x * x).sum(axis=1))
-        sound = np.isfinite(norm) & (norm > 0)
-        if sound.any():
-            yield at[sound], x[sound] / norm[sound, None]
-
-
-def _blocks(bench: DataFrame, bench_id: str, vector: str) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
-    """(ids, unit vectors) by length, at most BLOCK vectors at a time."""
-    waiting: list[pa.RecordBatch] = []
-    rows = bench.where(F.col(bench_id).isNotNull()).select(F.col(bench_id).cast("long").alias(bench_id), F.col(vector).cast("array<double>").alias(vector))
-    for batch in rows.toArrow().to_batches(BLOCK) if waiting == [] else ():
-        ids = batch.column(0).to_numpy()
-        yield [(ids[at], x) for at, x in _units(batch.column(1))]
+from siftwright.operators.tiles import TILE_BYTES, best_k
 
 
-def nearest(pool: DataFrame, bench: DataFrame, pool_id: str = "vec_id", bench_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def nearest(pool: DataFrame, bench: DataFrame, pool_id: str = "vec_id", bench_id: str = "vec_id", vector: str = "embedding", tile_bytes: int = TILE_BYTES) -> DataFrame:
     """(vec_id, bench_id, sim) of each pool row's best benchmark neighbour; ties go to the smaller bench_id.
 
     Pool rows without a comparable vector are not in the result.
     """
-    spark = pool.sparkSession
-    found = None
-    rows = pool.select(F.col(pool_id).cast("long"), F.col(vector).cast("array<double>"))
-    for block in _blocks(bench, bench_id, vector):
-        sent = spark.sparkContext.broadcast([(ids[o := np.argsort(ids, kind="stable")], x[o]) for ids, x in block])
+    found = best_k(pool.select(pool_id, vector), bench.select(bench_id, vector), 1, tile_bytes)
+    return found.select(F.col("id").alias("vec_id"), F.col("best")[0]["other"].alias("bench_id"), F.col("best")[0]["sim"].alias("sim"))
 
-        def best(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
-                for at, x in _units(batch.column(1)):
-                    for bench_ids, y in sent.value:
-                        if y.shape[1] == x.shape[1]:
-                            sims = x @ y.T
-                            k = sims.argmax(axis=1)
-                            yield pa.RecordBatch.from_arrays([pa.array(ids[at]).cast(pa.int64()), pa.array(bench_ids[k]), pa.array(sims[np.arange(len(k)), k])], names=["vec_id", "bench_id", "sim"])
 
-        one = rows.mapInArrow(best, "vec_id long, bench_id long, sim double")
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        return spark.createDataFrame([], "vec_id long, bench_id long, sim double")
-    top = F.max(F.struct("sim", (-F.col("bench_id")).alias("at"))).alias("m")
-    return found.groupBy("vec_id").agg(top).select("vec_id", (-F.col("m.at")).alias("bench_id"), F.col("m.sim").alias("sim"))
-
-
-def top_k(pool: DataFrame, bench: DataFrame, k: int = 5, pool_id: str = "vec_id", bench_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def top_k(pool: DataFrame, bench: DataFrame, k: int = 5, pool_id: str = "vec_id", bench_id: str = "vec_id", vector: str = "embedding", tile_bytes: int = TILE_BYTES) -> DataFrame:
     """(bench_id, vec_id, sim, rank) of each benchmark row's k best pool rows; ties go to the smaller vec_id.
 
-    A task sends k rows of its own for each benchmark row. Fewer than k comparable pool rows
-    are all returned.
+    Fewer than k comparable pool rows are all returned.
     """
-    spark = pool.sparkSession
-    found = None
-    rows = pool.where(F.col(pool_id).isNotNull()).select(F.col(pool_id).cast("long"), F.col(vector).cast("array<double>"))
-    for block in _blocks(bench, bench_id, vector):
-        sent = spark.sparkContext.broadcast(block)
-
-        def best(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            held = [(np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)) for ids, _ in sent.value]
-            for batch in batches:
-                ids = batch.column(0).to_numpy()
-                for at, x in _units(batch.column(1)):
-                    for n, (_, y) in enumerate(sent.value):
-                        if y.shape[1] == x.shape[1]:
-                            sims = np.hstack([held[n][0], y @ x.T])
-                            own = np.hstack([held[n][1], np.broadcast_to(ids[at], (len(y), len(at)))])
-                            order = np.lexsort((own, -sims), axis=1)[:, :k]
-                            held[n] = (np.take_along_axis(sims, order, 1), np.take_along_axis(own, order, 1))
-            for (bench_ids, _), (sims, own) in zip(sent.value, held, strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(bench_ids, sims.shape[1])), pa.array(own.ravel()), pa.array(sims.ravel())], names=["bench_id", "vec_id", "sim"])
-
-        one = rows.mapInArrow(best, "bench_id long, vec_id long, sim double")
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        return spark.createDataFrame([], "bench_id long, vec_id long, sim double, rank int")
-    by = Window.partitionBy("bench_id").orderBy(F.col("sim").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    found = best_k(bench.select(bench_id, vector), pool.select(pool_id, vector), k, tile_bytes)
+    each = found.select(F.col("id").alias("bench_id"), F.posexplode("best").alias("at", "m"))
+    return each.select("bench_id", F.col("m.other").alias("vec_id"), F.col("m.sim").alias("sim"), (F.col("at") + 1).alias("rank"))
