@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siftwright.llm import decontaminate, embedding_dedup, mixing, ngram_join
+from siftwright.llm import decontaminate, embedding_dedup, hard_negatives, mixing, ngram_join
 from siftwright.llm.classify import fit_language, fit_quality, identify_language, score_quality
 from siftwright.llm.decontaminate import find_contamination
 from siftwright.llm.embedding_dedup import near_duplicates
+from siftwright.llm.hard_negatives import mine_hard_negatives
 from siftwright.llm.line_dedup import dedup_lines
 from siftwright.llm.mixing import mix_sources
 from siftwright.llm.ngram_join import jaccard_components
@@ -107,6 +108,16 @@ def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count(k).alias(f"n_{k}") for k in KINDS), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"))
 
 
+@_query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label")
+    moved = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    return mine_hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", moved), vec_id % 100 == 0)
+
+
+ORACLES["op12_hard_negatives"] = hard_negatives.SQL
+
+
 @_query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)

@@ -1,57 +1,11 @@
-"""Tables that a job writes to cut its lineage, in the folder that all executors share."""
+"""The shared folder's tables, and what may be broadcast."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-
-
-def shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of our own only where it is unset."""
-    told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if told:
-        return told.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="siftwright-"))
-
-
-class Workspace:
-    """One job's folder below the shared root.
-
-    Tables written here outlive the executors that made them. The last tables of a job
-    stay, because the returned DataFrame reads them; ``drop`` removes the others early.
-    """
-
-    def __init__(self, spark: SparkSession, job: str):
-        self.spark = spark
-        self.root = f"{shared_root(spark)}/siftwright/{job}-{uuid.uuid4().hex[:12]}"
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def store_path(self, name: str) -> str:
-        """The same place as pyarrow's file systems take it."""
-        path = self.path(name)
-        return path if ":" in path.split("/")[0] else os.path.abspath(path)
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        """The rows of df, from a parquet table instead of from its lineage."""
-        df.write.mode("overwrite").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def drop(self, name: str = "") -> None:
-        """Remove a table, or the whole folder."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
-        path.getFileSystem(self.spark._jsc.sc().hadoopConfiguration()).delete(path, True)
-
+from siftwright.sources.shared import Workspace, shared_root, unused  # noqa: F401  used from here by the operators
 
 BROADCAST_BYTES = 48 << 20
 
@@ -60,11 +14,3 @@ def small(df: DataFrame, row_bytes: Column) -> DataFrame:
     """df, a written table, marked for broadcast if its rows have few bytes together; else it is joined by a shuffle."""
     total = df.agg(F.coalesce(F.sum(row_bytes.cast("long")), F.lit(0))).first()[0]
     return F.broadcast(df) if total <= BROADCAST_BYTES else df
-
-
-def unused(df: DataFrame, name: str) -> str:
-    """A column name that df doesn't have, in whatever case."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
