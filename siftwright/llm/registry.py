@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siftwright.llm import decontaminate, embedding_dedup, hard_negatives, mixing, ngram_join
+from siftwright.llm import centroids, decontaminate, embedding_dedup, hard_negatives, mixing, ngram_join
 from siftwright.llm.classify import fit_language, fit_quality, identify_language, score_quality
 from siftwright.llm.decontaminate import find_contamination
 from siftwright.llm.embedding_dedup import near_duplicates
@@ -118,6 +118,19 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op12_hard_negatives"] = hard_negatives.SQL
 
 
+@_query
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assigned, final = centroids.cluster(_table(spark, sf_dir, "embeddings"))
+    sums = assigned.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia"))
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256")
+    # a row for each centroid
+    of_each = final.join(sums, "cluster").select("cluster", "cluster_inertia", F.sum("cluster_inertia").over(Window.partitionBy(F.lit(0))).alias("inertia"), digest)
+    return assigned.join(F.broadcast(of_each), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+ORACLES["op13_centroids"] = centroids.SQL
+
+
 @_query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
