@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwright.llm.subword import Model, Shape, train
+from siftwright.llm.workspace import unused
 
 QUALITY_SHAPE = Shape(lower=False)
 LANGUAGE_SHAPE = Shape(lower=True, epochs=4)
@@ -62,9 +63,8 @@ def fit_language(docs: DataFrame, shape: Shape = LANGUAGE_SHAPE, sample: int = S
     return train(*_sample(texts.join(F.broadcast(few), "__id"), sample), shape)
 
 
-def _apply(model: Model, wanted: str):
+def _apply(model: Model, wanted: str, names: list[str]):
     one = model.classes.index(1) if 1 in model.classes else None
-    names = ["__score"] if wanted == "quality" else ["__lang", "__score", "__rejected"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,10 +85,13 @@ def _apply(model: Model, wanted: str):
     return score
 
 
-def _scored(docs: DataFrame, model: Model, wanted: str, keep: list[str]) -> DataFrame:
-    fields = ["__score double"] if wanted == "quality" else ["__lang string", "__score double", "__rejected boolean"]
-    rows = docs.select(*keep, F.col("text").alias("__text"))
-    return rows.mapInArrow(_apply(model, wanted), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), *fields]))
+def _scored(docs: DataFrame, model: Model, wanted: str, keep: list[str]) -> tuple[DataFrame, list[str]]:
+    """docs' columns ``keep`` with what the model says, and the names of that, which no column of docs has."""
+    kinds = {"score": "double"} if wanted == "quality" else {"lang": "string", "score": "double", "rejected": "boolean"}
+    names = [unused(docs, f"__{n}") for n in kinds]
+    rows = docs.select(*keep, F.col("text").alias(unused(docs, "__text")))
+    fields = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), *(f"`{n}` {k}" for n, k in zip(names, kinds.values()))]
+    return rows.mapInArrow(_apply(model, wanted, names), ", ".join(fields)), names
 
 
 def score_quality(docs: DataFrame, model: Model, threshold: float = 0.7, keep: list[str] | None = None) -> DataFrame:
@@ -102,8 +105,8 @@ def score_quality(docs: DataFrame, model: Model, threshold: float = 0.7, keep: l
     """
     own = ("held_out", "score", "predicted")
     keep = [c for c in (keep or docs.columns) if c not in own]
-    out = _scored(docs, model, "quality", list(dict.fromkeys([*keep, "doc_id"])))
-    result = {"held_out": held_out(F.col("doc_id")), "score": F.col("__score"), "predicted": F.when(F.col("__score") >= threshold, 1).otherwise(0)}
+    out, (score,) = _scored(docs, model, "quality", list(dict.fromkeys([*keep, "doc_id"])))
+    result = {"held_out": held_out(F.col("doc_id")), "score": F.col(score), "predicted": F.when(F.col(score) >= threshold, 1).otherwise(0)}
     return out.select(*keep, *(c.alias(n) for n, c in result.items()))
 
 
@@ -118,13 +121,15 @@ def identify_language(docs: DataFrame, model: Model, keep: list[str] | None = No
     own = ("held_out", "lang_pred", "score", "rejected")
     keep = [c for c in (keep or docs.columns) if c not in own]
     extra = list(dict.fromkeys([*keep, "doc_id"]))
-    out = _scored(docs.withColumn("__letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))), model, "language", [*extra, "__letter"])
-    sure = F.col("__letter") & F.col("__lang").isNotNull()
+    letter = unused(docs, "__letter")
+    marked = docs.withColumn(letter, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    out, (lang, score, rejected) = _scored(marked, model, "language", [*extra, letter])
+    sure = F.col(letter) & F.col(lang).isNotNull()
     result = {
         "held_out": held_out(F.col("doc_id")),
-        "lang_pred": F.when(sure, F.col("__lang")).otherwise(F.lit(UNDETERMINED)),
-        "score": F.when(sure, F.col("__score")).otherwise(F.lit(0.0)),
-        "rejected": ~sure | F.col("__rejected"),
+        "lang_pred": F.when(sure, F.col(lang)).otherwise(F.lit(UNDETERMINED)),
+        "score": F.when(sure, F.col(score)).otherwise(F.lit(0.0)),
+        "rejected": ~sure | F.col(rejected),
     }
     return out.select(*keep, *(c.alias(n) for n, c in result.items()))
 

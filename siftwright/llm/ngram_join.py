@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from siftwright.llm.components import connected_components
 from siftwright.llm.hashing import column_bytes, mix, pair, slices, words
-from siftwright.llm.workspace import Workspace, small
+from siftwright.llm.workspace import Workspace, small, unused
 
 ORDERS = (0x243F6A8885A308D3, 0x13198A2E03707344)  # what makes each order of the tokens
 CROWD = 32  # sets that have a token in their prefix; beyond, they are compared in tiles
@@ -398,10 +398,11 @@ def keep_one_of_each(docs: DataFrame, percent: int = 80, size: int = 5) -> DataF
     work = Workspace(docs.sparkSession, "near-duplicate-ids")
     found = jaccard_components(docs.select("doc_id", "text"), percent, size, "near-duplicates").where(F.col("doc_id").isNotNull())
     stays = F.bool_or(F.col("doc_id") == F.col("component_id"))
-    ids = work.write(found.groupBy(F.col("doc_id").alias("__id")).agg(stays.alias("__stays"), F.count(F.lit(1)).alias("__n")).where(~F.col("__stays") | (F.col("__n") > 1)), "ids")
-    key = docs["doc_id"].cast("long") == F.col("__id")
-    once = docs.join(small(ids.select("__id"), F.lit(16)), key, "left_anti")
+    id, nth = unused(docs, "__id"), unused(docs, "__nth")
+    ids = work.write(found.groupBy(F.col("doc_id").alias(id)).agg(stays.alias("stays"), F.count(F.lit(1)).alias("many")).where(~F.col("stays") | (F.col("many") > 1)), "ids")
+    key = docs["doc_id"].cast("long") == F.col(id)
+    once = docs.join(small(ids.select(id), F.lit(16)), key, "left_anti")
     # texts meet only where an id is repeated
-    repeated = docs.join(small(work.write(ids.where(F.col("__stays")).select("__id"), "repeated"), F.lit(16)), key, "left_semi")
+    repeated = docs.join(small(work.write(ids.where(F.col("stays")).select(id), "repeated"), F.lit(16)), key, "left_semi")
     same = Window.partitionBy("doc_id", F.sha2("text", 256)).orderBy(F.xxhash64(*docs.columns))
-    return once.unionByName(repeated.withColumn("__nth", F.row_number().over(same)).where(F.col("__nth") == 1).drop("__nth"))
+    return once.unionByName(repeated.withColumn(nth, F.row_number().over(same)).where(F.col(nth) == 1).drop(nth))

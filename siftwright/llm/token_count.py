@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwright.llm.hashing import column_bytes
+from siftwright.llm.workspace import unused
 
 _SAFE = re.compile(r"\S(?=[ \t\n\r])")
 _LOADED: dict[str, tuple] = {}
@@ -73,34 +74,46 @@ def _lengths(kind: str, tokenizer, texts: list[str]) -> list[int]:
 
 
 def _counter(name: str, batch_bytes: int, piece_chars: int):
+    """Counts of the last column's texts. Texts wait for each other until they fill batch_bytes, across Arrow batches."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind, tokenizer, can_split = _load(name)
+        waiting: list[str] = []
+        owners: list[tuple[list[int], int]] = []
+        ready: list[tuple[pa.RecordBatch, list[int], list[int]]] = []  # rows that wait for their last pieces
+        held = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for (totals, i), n in zip(owners, _lengths(kind, tokenizer, waiting), strict=True):
+                totals[i] += n
+            waiting.clear()
+            owners.clear()
+            for batch, sizes, totals in ready:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sizes, pa.int64()), pa.array(totals, pa.int64())], names=[*batch.schema.names[:-1], "n_bytes", "n_tokens"])
+            ready.clear()
+
         for batch in batches:
-            column = batch.column("__text")
+            column = batch.columns[-1]
             _, offsets = column_bytes(column)
-            sizes = offsets[1:] - offsets[:-1]
-            totals, waiting, owners, held = [0] * len(sizes), [], [], 0
-
-            def flush() -> None:
-                for owner, n in zip(owners, _lengths(kind, tokenizer, waiting), strict=True):
-                    totals[owner] += n
-                waiting.clear()
-                owners.clear()
-
-            for i, size in enumerate(sizes.tolist()):
+            sizes = (offsets[1:] - offsets[:-1]).tolist()
+            totals = [0] * len(sizes)
+            for i, size in enumerate(sizes):
                 if not size:
                     continue
                 text = column[i].as_py()
-                for piece in split_safely(text, piece_chars) if can_split and size > piece_chars else (text,):
+                pieces = split_safely(text, piece_chars) if can_split and size > piece_chars else [text]
+                for piece in pieces:
                     waiting.append(piece)
-                    owners.append(i)
-                    held += len(piece)
+                    owners.append((totals, i))
+                    held += size if len(pieces) == 1 else len(piece.encode())
                     if held >= batch_bytes:
-                        flush()
+                        yield from flush()
                         held = 0
-            flush()
-            rest = [batch.column(c) for c in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(sizes, pa.int64()), pa.array(totals, pa.int64())], names=[*batch.schema.names[:-1], "n_bytes", "n_tokens"])
+            ready.append((batch, sizes, totals))
+            if held >= batch_bytes // 2 or not waiting:
+                yield from flush()
+                held = 0
+        yield from flush()
 
     return count
 
@@ -119,6 +132,6 @@ def count_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", text: st
     n_bytes or n_tokens are replaced.
     """
     keep = [c for c in (keep if keep is not None else docs.columns) if c not in (text, "n_bytes", "n_tokens")]
-    rows = docs.select(*keep, F.col(text).cast("string").alias("__text"))
+    rows = docs.select(*keep, F.col(text).cast("string").alias(unused(docs, "__text")))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "n_bytes long", "n_tokens long"])
     return rows.mapInArrow(_counter(tokenizer, batch_bytes, piece_chars), schema)

@@ -3,11 +3,15 @@
 import base64
 import hashlib
 import math
+import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+import siftwright.llm
 from siftwright.llm import workspace
+from siftwright.llm.classify import fit_language, fit_quality, identify_language, score_quality
 from siftwright.llm.decontaminate import drop_contaminated, find_contamination
 from siftwright.llm.embedding_dedup import near_duplicates
 from siftwright.llm.line_dedup import dedup_lines
@@ -18,7 +22,9 @@ from siftwright.llm.token_count import count_tokens, tokenizer_path
 from siftwright.llm.warc import round_trip
 
 RUN = "\n".join(f"line {i} " + "word " * 9 for i in range(6)).replace(" \n", "\n").strip()
-CLASHES = ["__source", "__at", "__whole", "__reach", "__edge", "__last", "__hash", "__doc", "__runs", "__kept", "doc", "mark", "runs", "kept", "owner", "node", "component", "times", "key", "begin", "end", "n", "s"]
+# every name that an operator uses for itself, and some that it uses within
+INTERNAL = {n for p in Path(siftwright.llm.__file__).parent.glob("*.py") for n in re.findall(r"[\"`](__\w+)[\"`]", p.read_text(encoding="utf-8"))} - {"__init__"}
+CLASHES = [*sorted(INTERNAL | {"__score", "__lang", "__rejected"}),  "doc", "mark", "runs", "kept", "owner", "node", "component", "times", "key", "begin", "end", "n", "s"]
 
 
 def _clashing(df, names=CLASHES):
@@ -122,6 +128,28 @@ def test_pieces_end_where_the_library_ends_a_word(spark):
         assert got == {i: len(own.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
 
 
+def test_classes_and_counts_with_clashing_names(spark):
+    assert {"__text", "__letter", "__id", "__nth", "__doc"} <= set(CLASHES)
+    rows = [(i, "good words here" if i % 2 else "BAD 123", "de") for i in range(20)] + [(None, None, None), (3, "", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    clashing = _clashing(docs)
+    for got in (score_quality(clashing, fit_quality(clashing, _clashing(labels))), identify_language(clashing, fit_language(clashing)), count_tokens(clashing)):
+        got = got.collect()
+        assert len(got) == len(rows) and _same_extras(got)
+
+
+def test_token_batches_reach_beyond_arrow_batches(spark):
+    texts = [("x" * (k % 50) + " é " * (k % 7)) * (k % 3) for k in range(700)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        got = {most: {r.doc_id: (r.n_bytes, r.n_tokens) for r in count_tokens(docs, batch_bytes=most, piece_chars=9).collect()} for most in (1, 500, 1 << 20)}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got[1] == got[500] == got[1 << 20] and len(got[1]) == 700 and all(got[1][k][0] == len(t.encode()) for k, t in enumerate(texts))
+
+
 def test_scores_of_awkward_rows(spark):
     rows = [(i, "a b c a b") for i in range(12)] + [(None, "a b"), (None, None), (50, ""), (51, None), (51, "z " * 50_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
