@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwright.llm.workspace import Workspace
 
 
-def connected_components(edges: DataFrame, work: Workspace, name: str = "components", rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, work: Workspace, name: str = "components") -> DataFrame:
     """(node, component) for every node of edges (a, b): the smallest node reachable.
 
     Alternating large-star and small-star steps: every node is tied to the smallest
     neighbour seen so far until each component is a star, in about log(n) rounds. Each
     round is two partial aggregations and two joins, written to the shared folder. The
     neighbours of a node are only ever reduced to their minimum, never gathered, so one
-    node may have any number of them. Nodes without an edge are not listed.
+    node may have any number of them. Nodes without an edge are not listed. Rounds go on
+    until one changes nothing: each but the last ties some node to a smaller one, so they end.
     """
     now = work.write(_clean(edges.select("a", "b")), f"{name}-0")
     before = None
-    for n in range(1, rounds + 1):
+    for n in count(1):
         after = work.write(_small_star(_large_star(now)), f"{name}-{n}")
         mark = after.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         work.drop(f"{name}-{n - 1}")
@@ -27,8 +30,6 @@ def connected_components(edges: DataFrame, work: Workspace, name: str = "compone
         if tuple(mark) == before:
             break
         before = tuple(mark)
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 

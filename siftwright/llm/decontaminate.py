@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwright.llm.workspace import Workspace
+from siftwright.llm.workspace import Workspace, unused
 
 WINDOW = 13  # words; gram + positions - 1
 GRAM = 8
@@ -121,7 +121,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, name: str = "decon
     windows = items.select("item", F.explode(F.when(F.size("w") >= WINDOW, whole).otherwise(F.array(F.array_join("w", " ")))).alias("window"))
     windows = work.write(windows.groupBy("window").agg(F.collect_set("item").alias("items")), "windows")
     own = F.when(F.size("w") >= WINDOW, window_minima(F.col("w"))).otherwise(F.array(F.xxhash64(F.size("w"), F.array_join("w", " "))))
-    marks = work.write(items.select(F.explode(own).alias("mark")).distinct(), "marks").withColumn("known", F.lit(True))
+    marks = work.write(items.select(F.explode(own).alias("mark")).distinct(), "marks").select(F.col("mark").alias("key"), F.lit(True).alias("known"))
 
     read = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
 
@@ -129,9 +129,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, name: str = "decon
         return F.struct(F.size(w).cast("long").alias("n"), F.concat(F.array(F.lit(None).cast("bigint")), _fingerprints(w, short)).alias("marks"))
 
     once = read.select("doc_id", "text_hash", _let(words_of(F.col("text")), first).alias("x"))
+    # the row that counts a text has no mark; its key is dealt out evenly, since null keys would all meet
     found = (
         once.select("doc_id", "text_hash", F.col("x.n").alias("n_words"), F.explode("x.marks").alias("mark"))
-        .join(marks, "mark", "left")
+        .withColumn("key", F.coalesce("mark", F.xxhash64("doc_id", "text_hash")))
+        .join(marks, "key", "left")
         .where(F.col("mark").isNull() | F.col("known"))
         .groupBy("doc_id", "text_hash")
         .agg(F.max("n_words").alias("n_words"), F.count_if(F.col("mark").isNull()).alias("copies"), F.collect_set("mark").alias("matched"))
@@ -155,6 +157,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, name: str = "decon
         F.col("doc_id").alias("s_doc"), F.col("text_hash").alias("s_hash"), F.aggregate("spans", start, covered, lambda acc: acc["n"]).alias("hit"), F.size("ids").cast("long").alias("many"), F.sha2(F.array_join("ids", ","), 256).alias("digest")
     )
     counted = work.write(counted, "counted")
+    for name in ("windows", "marks", "candidates"):
+        work.drop(name)
     n_hit = F.coalesce(F.col("hit"), F.lit(0).cast("long"))
     return (
         found.join(counted, F.col("doc_id").eqNullSafe(F.col("s_doc")) & (F.col("text_hash") == F.col("s_hash")), "left")
@@ -173,9 +177,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, name: str = "decon
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that find_contamination doesn't call contaminated, unchanged."""
-    bad = find_contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash")).distinct()
+    doc, mark = unused(docs, "__doc"), unused(docs, "__hash")
+    bad = find_contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias(doc), F.col("text_hash").alias(mark)).distinct()
     bad = Workspace(docs.sparkSession, "contaminated").write(bad, "bad")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__doc"]) & (F.xxhash64(docs["text"]) == bad["__hash"]), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad[doc]) & (F.xxhash64(docs["text"]) == bad[mark]), "left_anti")
 
 
 #: The same rows in DuckDB.
