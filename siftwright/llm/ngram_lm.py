@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from siftwright.llm.classify import held_out
 from siftwright.llm.hashing import column_bytes, words
-from siftwright.llm.workspace import Workspace
+from siftwright.llm.workspace import Workspace, unused
 
 DISCOUNT = 0.75
 SHARD = 1 << 20  # n-grams, about, in a shard; also words in a vocabulary shard
@@ -38,6 +38,8 @@ _END = np.int64(0x5EED5EED5EED5EED)
 _PAD = -1
 _SPAN = 4 << 20  # bytes of text scored at once; a longer text is a span of its own
 _AT_ONCE = 1 << 19  # n-grams or words summed in a task before they are dealt out
+FAN = 1024  # runs of a shard that are summed at once, about
+_MOST_WORDS = 3_037_000_499  # whose square has 63 bits
 _PARTS = 16  # a word's n-grams are dealt to as many shards as they would fill times this
 _U, _I = np.uint64, np.int64
 
@@ -177,15 +179,15 @@ def _open(folder: str, name: str) -> dict[str, np.ndarray]:
 
 def _packed(pairs: np.ndarray, c: np.ndarray, n: np.ndarray) -> bytes:
     """Sorted n-grams with their counts: differences and numbers by byte planes, compressed."""
-    planes = [x.view(np.uint8).reshape(len(pairs), -1).T.tobytes() for x in (np.diff(pairs, prepend=0), c.astype(np.int32), n)]
+    planes = [x.view(np.uint8).reshape(len(pairs), -1).T.tobytes() for x in (np.diff(pairs, prepend=0), c, n)]
     return len(pairs).to_bytes(8, "little") + pa.compress(b"".join(planes), "zstd", asbytes=True)
 
 
 def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     m = int.from_bytes(blob[:8], "little")
-    planes = np.frombuffer(pa.decompress(blob[8:], 20 * m, "zstd"), np.uint8)
+    planes = np.frombuffer(pa.decompress(blob[8:], 24 * m, "zstd"), np.uint8)
     read = lambda lo, kind: np.ascontiguousarray(planes[lo * m : (lo + np.dtype(kind).itemsize) * m].reshape(-1, m).T).view(kind).ravel()
-    return np.cumsum(read(0, _I)), read(8, np.int32), read(12, _I)
+    return np.cumsum(read(0, _I)), read(8, _I), read(16, _I)
 
 
 class Vocabulary:
@@ -310,6 +312,15 @@ def _firsts(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(differ)
 
 
+def _sum_runs(key: tuple, table: pa.Table) -> pa.Table:
+    """Some runs of a shard as one."""
+    pairs, c, n = (np.concatenate(x) for x in zip(*map(_unpacked, table.column("grams").to_pylist()), strict=True))
+    order = np.lexsort((c, pairs))
+    pairs, c, n = pairs[order], c[order], n[order]
+    new = _firsts(pairs, c)
+    return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "grams": pa.array([_packed(pairs[new], c[new], np.add.reduceat(n, new))], pa.binary())})
+
+
 def _store_trie(folder: str, size: int, words_folder: str, shards: list, files: list):
     def store(key: tuple, table: pa.Table) -> pa.Table:
         pairs, c, n = (np.concatenate(x) for x in zip(*map(_unpacked, table.column("grams").to_pylist()), strict=True))
@@ -338,8 +349,9 @@ def _store_trie(folder: str, size: int, words_folder: str, shards: list, files:
         arrays["two.rest"] = quantise(np.where(kinds > 0, DISCOUNT * kinds / pairs, 1.0))
         arrays["three.p"] = quantise((n[real] - DISCOUNT) / pairs[rank2[real]])
         name = _store(folder, arrays)
-        n_one = len(one)
-        return pa.table({"shard": pa.array([key[0].as_py()] * n_one, pa.int32()), "file": [name] * n_one, "w": pa.array(a[two][one]), "kinds": pa.array(np.diff(np.append(one, len(two))), pa.int64())})
+        n_one, w = len(one), a[two][one]
+        v = np.searchsorted([start for start, _ in shards], w, "right") - 1  # the part of the vocabulary that has the word
+        return pa.table({"shard": pa.array([key[0].as_py()] * n_one, pa.int32()), "file": [name] * n_one, "w": pa.array(w), "v": pa.array(v.astype(np.int32)), "kinds": pa.array(np.diff(np.append(one, len(two))), pa.int64())})
 
     return store
 
@@ -440,7 +452,7 @@ class Scorer:
         return np.log10(prior_more + prior_rest * p), np.log10(base), seen > 0
 
 
-def fit(docs: DataFrame, shard: int = SHARD) -> tuple[Model, Workspace]:
+def fit(docs: DataFrame, shard: int = SHARD, fan: int = FAN) -> tuple[Model, Workspace]:
     """A model of the texts of all rows of docs; a null text counts as an empty one."""
     work = Workspace(docs.sparkSession, "ngram-lm")
     folder = work.store_path("files")
@@ -457,13 +469,17 @@ def fit(docs: DataFrame, shard: int = SHARD) -> tuple[Model, Workspace]:
     files = [listed.get(s, (None, 0))[0] for s in range(n_parts)]
     # no more n-grams than tokens; dealt by shard once, for the sums and the tries alike
     n_tries = max(1, -(-int(total) // shard))
-    tries = texts.mapInArrow(_count_ngrams(folder, shards, files, size, n_tries), "shard int, grams binary").groupBy("shard")
-    built = work.write(tries.applyInArrow(_store_trie(folder, size, folder, shards, files), "shard int, file string, w long, kinds long"), "trie-files")
+    if size > _MOST_WORDS:
+        raise OverflowError(f"{size} distinct words; a pair of words is a number of 64 bits")
+    runs = texts.mapInArrow(_count_ngrams(folder, shards, files, size, n_tries), "shard int, grams binary")
+    # a frequent pair has a run from almost every block of tokens: they are summed in a tree
+    left = int(total) // _AT_ONCE
+    while left > fan:
+        runs = runs.groupBy("shard", F.pmod(F.xxhash64("grams"), F.lit(-(-left // fan)))).applyInArrow(_sum_runs, "shard int, grams binary")
+        left = -(-left // fan)
+    built = work.write(runs.groupBy("shard").applyInArrow(_store_trie(folder, size, folder, shards, files), "shard int, file string, w long, v int, kinds long"), "trie-files")
     names = {r["shard"]: r["file"] for r in built.select("shard", "file").distinct().collect()}
-    starts = F.lit(0)
-    for k, (start, _) in enumerate(shards):
-        starts = F.when(F.col("w") >= start, k).otherwise(starts) if k else starts
-    kinds = built.groupBy("w").agg(F.sum("kinds").alias("kinds")).withColumn("v", starts.cast("int")).groupBy("v").applyInArrow(_store_kinds(folder, shards), "v int, file string")
+    kinds = built.groupBy("v", "w").agg(F.sum("kinds").alias("kinds")).groupBy("v").applyInArrow(_store_kinds(folder, shards), "v int, file string")
     kept = {r["v"]: r["file"] for r in work.write(kinds, "kinds-files").collect()}
     return Model(folder, shards, files, [kept.get(s) for s in range(n_parts)], names, n_tries, size, int(total)), work
 
@@ -485,7 +501,7 @@ def _score(model: Model):
     return score
 
 
-def score_texts(docs: DataFrame, keep: list[str] | None = None, shard: int = SHARD) -> DataFrame:
+def score_texts(docs: DataFrame, keep: list[str] | None = None, shard: int = SHARD, fan: int = FAN) -> DataFrame:
     """``docs``' columns ``keep`` (default: all but the text) with the scores of their texts.
 
     Learned from rows that are not held out (crc32 of doc_id mod 7 is not 2). Tokens are
@@ -501,7 +517,7 @@ def score_texts(docs: DataFrame, keep: list[str] | None = None, shard: int = SHA
     own = ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
     keep = [c for c in (keep if keep is not None else docs.columns) if c not in (*own, "text")]
     out = held_out(F.col("doc_id"), 7)
-    model, _ = fit(docs.where(~out), shard)
-    rows = docs.select(*keep, out.alias("held_out"), F.col("text").cast("string").alias("__text"))
+    model, _ = fit(docs.where(~out), shard, fan)
+    rows = docs.select(*keep, out.alias("held_out"), F.col("text").cast("string").alias(unused(docs, "__text")))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "n_tokens long, n_known long, base_score double, score double"])
     return rows.mapInArrow(_score(model), schema).withColumn("train_tokens", F.lit(model.n_tokens).cast("long"))

@@ -9,7 +9,8 @@ from zlib import crc32
 import numpy as np
 import pytest
 
-from siftwright.llm.ngram_lm import DISCOUNT, Rising, score_texts
+from siftwright.llm import ngram_lm
+from siftwright.llm.ngram_lm import DISCOUNT, Rising, _packed, _unpacked, score_texts
 
 
 def _tokens(text):
@@ -49,11 +50,17 @@ def _texts(n=120):
     return [*made, None, "", "  \n", "x " * 30_000, "ein anderes wort", made[0], made[0]]
 
 
-@pytest.mark.parametrize("shard", [1 << 20, 5])
-def test_scores_are_those_of_plain_counting(spark, shard):
-    rows = list(enumerate(_texts()))
-    docs = spark.createDataFrame([(i, t, 1.0) for i, t in rows], "doc_id long, text string, score double")
-    out = {r["doc_id"]: r for r in score_texts(docs, shard=shard).collect()}
+def _pair_in_most_texts():
+    return [f"{k % 9} of the {k % 11} of the {k % 4} end" for k in range(160)] + ["of the " * 200]
+
+
+@pytest.mark.parametrize("texts, shard, blocks", [(_texts(), 1 << 20, None), (_texts(), 5, None), (_pair_in_most_texts(), 1 << 20, 40), (_pair_in_most_texts(), 50, 10)])
+def test_scores_are_those_of_plain_counting(spark, monkeypatch, texts, shard, blocks):
+    if blocks:  # runs of many blocks are summed in a tree
+        monkeypatch.setattr(ngram_lm, "_AT_ONCE", blocks)
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame([(i, t, 1.0) for i, t in rows], "doc_id long, text string, score double").repartition(12 if blocks else 4)
+    out = {r["doc_id"]: r for r in score_texts(docs, shard=shard, fan=2 if blocks else 1024).collect()}
     assert len(out) == len(rows)
     held = {i for i, _ in rows if crc32(str(i).encode()) % 7 == 2}
     plain = Plain([t for i, t in rows if i not in held])
@@ -67,6 +74,17 @@ def test_scores_are_those_of_plain_counting(spark, shard):
         assert got["score"] == pytest.approx(want, abs=len(tokens) / 2048)
 
 
+def test_a_vocabulary_of_over_a_thousand_shards(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(7 * i + k) % 1100}" for k in range(9))) for i in range(170)], "doc_id long, text string")
+    few, many = ({r.doc_id: r.score for r in score_texts(docs, shard=s).collect()} for s in (1 << 20, 1))
+    assert few == pytest.approx(many)
+
+
+def test_runs_hold_numbers_of_64_bits():
+    pairs, c, n = np.array([5, 7 << 40, 1 << 62]), np.array([-1, 1 << 40, 3]), np.array([1, 1 << 35, 2])
+    assert all((x == y).all() for x, y in zip(_unpacked(_packed(pairs, c, n)), (pairs, c, n)))
+
+
 def test_nothing_to_learn_from(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert score_texts(empty).count() == 0
