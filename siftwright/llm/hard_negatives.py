@@ -163,11 +163,14 @@ def _divided(state: DataFrame, counts: DataFrame, least_id: int, most_id: int) -
 def _selected(state: DataFrame, work: Workspace, name: str, pairs: DataFrame, ids: tuple[int, int]) -> DataFrame:
     """(tile, window, slot, anchor_id, score, vec_id, rank): the rows wanted of each window."""
     state, done, n = work.write(state, f"{name}-0"), [], 0
+    spark = pairs.sparkSession
+    n_tasks = max(1, min(pairs.count(), max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))))
     folders = work.store_path("anchors"), work.store_path("rows")
 
     def dealt(states: DataFrame) -> DataFrame:
         own = states.groupBy("tile").agg(F.collect_list(F.struct(*_NAMES)).alias("state"))  # as many as a tile has windows
-        return pairs.join(own, "tile").select("tile", "others", "state")
+        # a unit is a task's work, however few bytes its names have
+        return pairs.join(own, "tile").select("tile", "part", "others", "state").repartition(n_tasks, "tile", "part")
 
     while not state.isEmpty():
         counts = dealt(state).mapInArrow(_count(*folders), "tile string, window int, bucket long, n long")
