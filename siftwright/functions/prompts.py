@@ -42,3 +42,19 @@ def messages(system: Column, shots: list[tuple[Column, Column]], asked: Column)
 def plain_prompt(chat: Column) -> Column:
     """A chat as plain text, for models without a chat template."""
     return F.concat(F.array_join(F.transform(chat, lambda m: m["content"]), "\n\n"), F.lit("\n"))
+
+
+def asked(row: Column, fast: Column) -> Column:
+    """The question of a struct (topic, question, options, answer), in the direct form if fast."""
+    form = lambda direct: user_query(row["topic"], row["question"], row["options"], direct)
+    return F.when(fast, form(True)).otherwise(form(False))
+
+
+def few_shot_chat(system: Column, shots: Column, row: Column, fast: Column) -> Column:
+    """The chat of a question after an array of shots, all in the same form; a shot's answer is its letter alone."""
+
+    def turn(role: str, content: Column) -> Column:
+        return F.struct(F.lit(role).alias("role"), content.alias("content"))
+
+    told = F.flatten(F.transform(shots, lambda s: F.array(turn("user", asked(s, fast)), turn("assistant", s["answer"]))))
+    return F.concat(F.array(turn("system", system)), told, F.array(turn("user", asked(row, fast))))
