@@ -4,19 +4,21 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
-@F.pandas_udf(StringType())
-def _fold_unicode(text: pd.Series) -> pd.Series:
-    def fold(s: str | None) -> str | None:
-        return None if s is None else "".join(c for c in unicodedata.normalize("NFKD", s.lower()) if c.isalnum() and not unicodedata.combining(c))
+def _of_each(text: pa.Array, f: Callable[[str], str]) -> pa.Array:
+    return pa.array([None if s is None else f(s) for s in text.to_pylist()], pa.string())
 
-    return text.map(fold)
+
+@F.arrow_udf(StringType())
+def _fold_unicode(text: pa.Array) -> pa.Array:
+    return _of_each(text, lambda s: "".join(c for c in unicodedata.normalize("NFKD", s.lower()) if c.isalnum() and not unicodedata.combining(c)))
 
 
 def letters_only(text: Column) -> Column:
@@ -39,14 +41,14 @@ def lone_letter(output: Column) -> Column:
     return F.regexp_extract(output, r"(?U)\b([A-J])\b", 1)
 
 
-@F.pandas_udf(StringType())
-def _strip_accents(text: pd.Series) -> pd.Series:
-    return text.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFKD", s.lower()) if not unicodedata.combining(c)))
+@F.arrow_udf(StringType())
+def _strip_accents(text: pa.Array) -> pa.Array:
+    return _of_each(text, lambda s: "".join(c for c in unicodedata.normalize("NFKD", s.lower()) if not unicodedata.combining(c)))
 
 
-@F.pandas_udf(StringType())
-def unescape_html(text: pd.Series) -> pd.Series:
-    return text.map(lambda s: None if s is None else html.unescape(s))
+@F.arrow_udf(StringType())
+def unescape_html(text: pa.Array) -> pa.Array:
+    return _of_each(text, html.unescape)
 
 
 def unescaped(text: Column) -> Column:
@@ -55,11 +57,20 @@ def unescaped(text: Column) -> Column:
     return F.when(has, unescape_html(F.when(has, text))).otherwise(text)
 
 
+def _folded(text: Column) -> Column:
+    plain = text.rlike(r"^[\x00-\x7F]*$")
+    return F.when(plain, F.lower(text)).otherwise(_strip_accents(F.when(~plain, text)))
+
+
 def plain_words(text: Column) -> Column:
     """Lower case without accents, white space collapsed and trimmed."""
-    plain = text.rlike(r"^[\x00-\x7F]*$")
-    folded = F.when(plain, F.lower(text)).otherwise(_strip_accents(F.when(~plain, text)))
-    return F.trim(F.regexp_replace(folded, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(_folded(text), r"(?U)\s+", " "))
+
+
+def distinct_pieces(text: Column, cut: str) -> Column:
+    """The different pieces of a text between matches of a pattern, each as ``plain_words`` has it, without empty ones."""
+    pieces = F.transform(F.split(_folded(text), cut), lambda p: F.trim(F.regexp_replace(p, r"(?U)\s+", " ")))
+    return F.array_distinct(F.filter(pieces, lambda p: p != ""))
 
 
 # Words that frame a question and say nothing of its content.

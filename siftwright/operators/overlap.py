@@ -1,102 +1,138 @@
-"""Overlap of texts with a benchmark: shared shingles, shared options, MinHash bands.
+"""Overlap of texts with a benchmark: shared shingles, shared options, samples of splits.
 
-Every join meets the benchmark's keys, whose number is bounded by the benchmark; pairs of
-rows of the pool are never made.
+Pool rows leave behind, before anything is shuffled, what a Bloom filter of the benchmark's
+items doesn't know. Pairs of rows of the pool are never made.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
 
+from siftwright.sources.shared import Workspace
 
-def shingles(plain: Column, k: int) -> Column:
-    """Distinct runs of k words of a normalised text (``plain_words``); a shorter one is one run, an empty or null one none."""
+BROADCAST_BYTES = 32 << 20  # of a benchmark's items
+HOT_ITEMS = 10_000  # items that are split, at most: each has more than a ten-thousandth of the pool's rows
+HOT_LEAST = 100_000  # and at least so many
+SPLIT = 64  # parts of a hot item
+_BITS_AN_ITEM, _MOST_BITS = 16, 27  # of a filter; its size as a power of two, so at most 16 MB
 
-    def of(text: str | None) -> list[str]:
-        words = text.split(" ") if text else []
-        return list(dict.fromkeys(" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1)))) if words else []
 
-    # an Arrow function, since a lambda over an expression may evaluate the expression for each run
-    @F.pandas_udf("array<string>")
-    def runs(texts: pd.Series) -> pd.Series:
-        return texts.map(of)
+def shingles(plain: Column, k: int) -> Column:
+    """Distinct runs of k words of a normalised text (``plain_words``); a shorter one is one run, an empty or null one none."""
 
-    return runs(plain)
+    def runs(words: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (k - 1), F.lit(1)))
+        return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words, i, k), " ")))
 
+    # bound once, in an array of one; as a plain expression the words would be cut for every run
+    of_words = F.transform(F.array(F.split(plain, " ")), runs)[0]
+    return F.when(F.coalesce(F.length(plain), F.lit(0)) > 0, of_words).otherwise(F.array().cast("array<string>"))
 
-def shared(pool: DataFrame, pool_id: str, bench: DataFrame, bench_id: str) -> DataFrame:
-    """(pool_id, bench_id, inter, n_union) of all pairs that share an element of ``items``."""
-    # sizes are taken below the explosion, which otherwise copies the whole set to each of its rows
-    right = bench.select(bench_id, "items", F.size("items").alias("__m")).select(bench_id, "__m", F.explode("items").alias("__item"))
-    left = pool.select(pool_id, "items", F.size("items").alias("__n")).select(pool_id, "__n", F.explode("items").alias("__item"))
-    pairs = left.join(right, "__item").groupBy(pool_id, bench_id).agg(F.count(F.lit(1)).alias("inter"), F.max(F.col("__n") + F.col("__m")).cast("long").alias("__sum"))
-    return pairs.select(pool_id, bench_id, "inter", (F.col("__sum") - F.col("inter")).alias("n_union"))
 
+def _probes(hashes: np.ndarray, log2: int) -> Iterator[np.ndarray]:
+    """Four bits for each hash."""
+    x, mask = hashes, np.uint64((1 << log2) - 1)
+    for factor in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(factor)
+        x = x ^ (x >> np.uint64(32))
+        yield x & mask
+        yield (x >> np.uint64(32)) & mask
 
-def best_match(pairs: DataFrame, pool_id: str, bench_id: str) -> DataFrame:
-    """For each benchmark row the pair of the largest similarity, ties to the smallest pool id."""
-    best = pairs.groupBy(bench_id).agg(F.max(F.struct((F.col("inter") / F.col("n_union")).alias("sim"), (-F.col(pool_id)).alias("at"), "inter", "n_union")).alias("m"))
-    return best.select(bench_id, (-F.col("m.at")).alias(pool_id), F.col("m.inter").alias("inter"), F.col("m.n_union").alias("n_union"))
 
+def item_filter(items: DataFrame, item: str, n: int) -> Broadcast:
+    """A Bloom filter of a column of about n strings: tasks set bits, which are joined by word before the driver sees them."""
+    log2 = min(_MOST_BITS, max(10, int(n * _BITS_AN_ITEM).bit_length()))
 
-def accepted(option_sim: Column, stem_sim: Column, generic: Column, least: float = 0.6, least_generic: float = 0.5) -> Column:
-    """Whether shared options make a match; sets that many questions have need a similar stem."""
-    return (option_sim >= least) & (~generic | (stem_sim >= least_generic))
+    def set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.zeros(1 << (log2 - 6), np.uint64)
+        for batch in batches:
+            for bit in _probes(batch.column(0).to_numpy().view(np.uint64), log2):
+                np.bitwise_or.at(words, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+        some = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(words[some].view(np.int64))], names=["word", "bits"])
 
+    parts = items.select(F.xxhash64(item)).mapInArrow(set_bits, "word long, bits long")
+    found = parts.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(1 << (log2 - 6), np.uint64)
+    words[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return items.sparkSession.sparkContext.broadcast(words)
 
-@F.pandas_udf(ArrayType(LongType()))
-def _signature(items: pd.Series) -> pd.Series:
-    """The least value of a set's 64-bit hashes under each of 128 permutations."""
-    factors = np.random.default_rng(12).integers(1, 2**63, 128, dtype=np.uint64) | np.uint64(1)
-    shifts = np.random.default_rng(13).integers(0, 2**63, 128, dtype=np.uint64)
 
-    def of(hashes) -> np.ndarray | None:
-        if hashes is None or not len(hashes):
-            return None
-        x = np.asarray(hashes).astype(np.int64).view(np.uint64)
-        out = np.full(128, np.iinfo(np.uint64).max, np.uint64)
-        for lo in range(0, len(x), 4096):
-            y = x[lo : lo + 4096, None] * factors + shifts
-            y ^= y >> np.uint64(29)
-            y *= np.uint64(0xBF58476D1CE4E5B9)
-            out = np.minimum(out, (y ^ (y >> np.uint64(32))).min(axis=0))
-        return out.view(np.int64)
+def known_items(rows: DataFrame, key: str, known: Broadcast) -> DataFrame:
+    """(key, __n, __item): the items of rows (key, items) that the filter has, and a few others, and how many each row has.
 
-    return items.map(of)
+    Strings are hashed in the JVM; a task looks up whole batches of hashes.
+    """
 
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = known.value
+        for batch in batches:
+            ids, items, hashes = batch.columns
+            many = items.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = hashes.flatten().to_numpy().view(np.uint64)
+            keep = np.ones(len(flat), bool)
+            for bit in _probes(flat, len(words).bit_length() + 5):
+                keep &= (words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
+            at = np.flatnonzero(keep)
+            owner = np.repeat(np.arange(len(many)), many)[at]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner)), pa.array(many[owner].astype(np.int32)), items.flatten().take(pa.array(at))], names=[key, "__n", "__item"])
+
+    hashed = rows.select(key, "items", F.transform("items", lambda s: F.xxhash64(s)).alias("__hashes"))
+    return hashed.mapInArrow(kept, f"`{key}` {rows.schema[key].dataType.simpleString()}, __n int, __item string")
+
+
+def overlaps(pool: DataFrame, pool_id: str, bench: DataFrame, bench_id: str, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(pool_id, bench_id, inter, n, m): all pairs that share elements of ``items``, how many, and how many each has.
+
+    A benchmark whose items have at most broadcast_bytes goes to the pool, whose rows then stay
+    where they are until their counts are known; else both are joined by item, and the items
+    that a great part of the rows has are split.
+    """
+    work = Workspace(pool.sparkSession, "overlap")
+    right = bench.select(bench_id, F.size("items").alias("__m"), "items").select(bench_id, "__m", F.explode("items").alias("__item"))
+    right = work.write(right, "bench")
+    n, size = right.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("__item") + 24), F.lit(0))).first()
+    left = known_items(pool, pool_id, item_filter(right, "__item", n))
+    if size <= broadcast_bytes:
+        met = left.join(F.broadcast(right), "__item")
+    else:
+        left = work.write(left, "pool")
+        many = max(HOT_LEAST, left.count() // HOT_ITEMS)
+        hot = work.write(left.groupBy("__item").agg(F.count(F.lit(1)).alias("__many")).where(F.col("__many") > many).select("__item", F.lit(True).alias("__hot")), "hot")
+        part = F.when(F.col("__hot"), F.pmod(F.xxhash64(pool_id), F.lit(SPLIT))).otherwise(0).cast("int")
+        left = left.join(F.broadcast(hot), "__item", "left").withColumn("__part", part).drop("__hot")
+        copies = F.sequence(F.lit(0), F.when(F.col("__hot"), SPLIT - 1).otherwise(0))
+        met = left.join(right.join(F.broadcast(hot), "__item", "left").withColumn("__part", F.explode(copies)).drop("__hot"), ["__item", "__part"])
+    return met.groupBy(pool_id, bench_id).agg(F.count(F.lit(1)).alias("inter"), F.max("__n").alias("n"), F.max("__m").alias("m"))
+
+
+def shared(pool: DataFrame, pool_id: str, bench: DataFrame, bench_id: str, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(pool_id, bench_id, inter, n_union) of all pairs that share an element of ``items``."""
+    met = overlaps(pool, pool_id, bench, bench_id, broadcast_bytes)
+    return met.select(pool_id, bench_id, "inter", (F.col("n") + F.col("m") - F.col("inter")).cast("long").alias("n_union"))
 
-def signature(items: Column) -> Column:
-    """128 minima of a set of strings, null for an empty set; strings are hashed once, in the JVM."""
-    return _signature(F.transform(items, lambda s: F.xxhash64(s)))
 
+def contained(pool: DataFrame, pool_id: str, bench: DataFrame, bench_id: str, least: float = 0.8) -> DataFrame:
+    """(pool_id, bench_id, inter, containment): pairs where a pool row has at least that share of a benchmark row's set."""
+    share = (F.col("inter") / F.col("m")).alias("containment")
+    return overlaps(pool, pool_id, bench, bench_id).select(pool_id, bench_id, "inter", share).where(F.col("containment") >= least)
 
-def bands_for(least: float, slots: int = 128, recall: float = 0.999) -> int:
-    """The most slots in a band such that a pair of similarity ``least`` meets with chance ``recall`` in some band."""
-    return max(r for r in range(1, slots + 1) if r == 1 or (slots % r == 0 and 1 - (1 - least**r) ** (slots // r) >= recall))
 
+def best_match(pairs: DataFrame, pool_id: str, bench_id: str) -> DataFrame:
+    """For each benchmark row the pair of the largest similarity, ties to the smallest pool id."""
+    best = pairs.groupBy(bench_id).agg(F.max(F.struct((F.col("inter") / F.col("n_union")).alias("sim"), (-F.col(pool_id)).alias("at"), "inter", "n_union")).alias("m"))
+    return best.select(bench_id, (-F.col("m.at")).alias(pool_id), F.col("m.inter").alias("inter"), F.col("m.n_union").alias("n_union"))
 
-def verified_candidates(pool: DataFrame, pool_id: str, bench: DataFrame, bench_id: str, least: float, slots: int = 128) -> DataFrame:
-    """(pool_id, bench_id, jaccard) of pairs that agree in a band and are at least that similar.
 
-    Signatures are cut into bands for ``least``; only ids meet, and the sets of the pairs
-    that met are compared exactly.
-    """
-    rows = bands_for(least, slots)
-
-    def banded(side: DataFrame, key: str) -> DataFrame:
-        signed = side.select(key, signature(F.col("items")).alias("__s")).where(F.col("__s").isNotNull())
-        bands = F.transform(F.sequence(F.lit(0), F.lit(slots // rows - 1)), lambda b: F.struct(b.alias("at"), F.xxhash64(F.slice("__s", b * rows + 1, rows)).alias("h")))
-        return signed.select(key, F.explode(bands).alias("__band"))
-
-    met = banded(pool, pool_id).join(banded(bench, bench_id), "__band").select(pool_id, bench_id).distinct()
-    sets = met.join(pool.select(pool_id, F.col("items").alias("__x")), pool_id).join(bench.select(bench_id, F.col("items").alias("__y")), bench_id)
-    both = F.size(F.array_intersect("__x", "__y"))
-    sim = both / (F.size("__x") + F.size("__y") - both)
-    return sets.select(pool_id, bench_id, sim.alias("jaccard")).where(F.col("jaccard") >= least)
+def accepted(option_sim: Column, stem_sim: Column, generic: Column, least: float = 0.6, least_generic: float = 0.5) -> Column:
+    """Whether shared options make a match; sets that many questions have need a similar stem."""
+    return (option_sim >= least) & (~generic | (stem_sim >= least_generic))
 
 
 def per_split_sample(rows: DataFrame, split: str, key: Column, cap: int) -> DataFrame:

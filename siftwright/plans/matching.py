@@ -14,11 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from siftwright.functions.text import FRAME_WORDS, content_tokens, plain_words, unescaped
+from siftwright.functions.arrays import jaccard
+from siftwright.functions.text import FRAME_WORDS, content_tokens, distinct_pieces, plain_words, unescaped
 from siftwright.operators.matching import best_hit, compared, generic, match_report, semantic_hit, verified
 from siftwright.operators.nearest import top_k
 from siftwright.operators.overlap import best_match, shared
-from siftwright.plans.registry import _LINES, _PLAIN, QUERIES, _lines_sql, _pairs_sql, _query, _quoted, _runs_sql, _shingled, _table
+from siftwright.plans.registry import _LINES, _PLAIN, QUERIES, _lines_sql, _options, _pairs_sql, _query, _quoted, _runs_sql, _shingles, _table
 
 _COSINE = "list_dot_product(p.v, b.v) / (sqrt(list_dot_product(p.v, p.v)) * sqrt(list_dot_product(b.v, b.v)))"
 _TOP = f"""v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
@@ -45,9 +46,7 @@ def semantic_top5(spark, sf_dir):
 def _items(spark, sf_dir) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
     rows = docs.select(F.col("doc_id").alias("id"), unescaped(F.col("text")).alias("text"))
-    pieces = rows.select("id", F.explode(F.split("text", r"[.\n]")).alias("t")).select("id", plain_words(F.col("t")).alias("t")).where("t <> ''")
-    options = pieces.groupBy("id").agg(F.collect_set("t").alias("options"))
-    return rows.select("id", content_tokens(plain_words(F.col("text"))).alias("content")).join(options, "id", "left")
+    return rows.select("id", content_tokens(plain_words(F.col("text"))).alias("content"), distinct_pieces(F.col("text"), r"[.\n]").alias("options"))
 
 
 def _compared(spark, sf_dir, k: int = 5) -> DataFrame:
@@ -119,16 +118,14 @@ judged AS (SELECT item_id, doc_id, option_sim, coalesce(s.inter / s.n_union, 0)
 
 
 def _option_matches(spark, sf_dir) -> DataFrame:
-    def options(t: str, i: str) -> DataFrame:
-        pieces = _table(spark, sf_dir, t).select(i, F.explode(F.split("text", r"[.\n]")).alias("t")).select(i, plain_words(F.col("t")).alias("t")).where("t <> ''")
-        return pieces.groupBy(i).agg(F.collect_set("t").alias("items"))
-
-    bench = options("benchmark", "item_id")
-    best = best_match(shared(options("documents", "doc_id"), "doc_id", bench, "item_id"), "doc_id", "item_id")
-    docs, items = _shingled(spark, sf_dir, 3)
-    stems = shared(docs, "doc_id", items, "item_id").select("doc_id", "item_id", (F.col("inter") / F.col("n_union")).alias("stem_sim"))
-    rows = best.select("item_id", "doc_id", (F.col("inter") / F.col("n_union")).alias("option_sim")).join(stems, ["doc_id", "item_id"], "left").join(bench, "item_id")
-    return rows.select("item_id", "doc_id", "option_sim", F.coalesce("stem_sim", F.lit(0.0)).alias("stem_sim"), generic(F.col("items")).alias("generic"))
+    """The best pair of each item; only the stems of these are compared."""
+    bench = _options(spark, sf_dir, "benchmark", "item_id")
+    best = best_match(shared(_options(spark, sf_dir, "documents", "doc_id"), "doc_id", bench, "item_id"), "doc_id", "item_id")
+    best = best.select("item_id", "doc_id", (F.col("inter") / F.col("n_union")).alias("option_sim"))
+    one = _shingles(_table(spark, sf_dir, "documents").join(best.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id", 3).withColumnRenamed("items", "stem")
+    other = _shingles(_table(spark, sf_dir, "benchmark"), "item_id", 3).withColumnRenamed("items", "other")
+    rows = best.join(one, "doc_id").join(other, "item_id").join(bench, "item_id")
+    return rows.select("item_id", "doc_id", "option_sim", jaccard(F.col("stem"), F.col("other")).alias("stem_sim"), generic(F.col("items")).alias("generic"))
 
 
 @_query(f"WITH {_OPTION} SELECT item_id, doc_id, option_sim, stem_sim, generic, option_sim >= 0.1 AND (NOT generic OR stem_sim >= 0.5) AS accepted FROM judged")

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from siftwright.functions.answers import ANNOUNCED, NO_ANSWER, PHRASES, announced_answer, robust_answer
 from siftwright.functions.arrays import log_softmax, reverse_kl
 from siftwright.functions.prompts import DIRECT, lettered, user_query
-from siftwright.functions.text import FRAME_WORDS, content_tokens, first_capital, letters_only, lone_letter, plain_words, question_hash
+from siftwright.functions.text import FRAME_WORDS, content_tokens, distinct_pieces, first_capital, letters_only, lone_letter, plain_words, question_hash
 from siftwright.operators.chat import valid_conversations
 from siftwright.operators.nearest import nearest
-from siftwright.operators.overlap import best_match, per_split_sample, shared, shingles, verified_candidates
+from siftwright.operators.lsh import verified_candidates
+from siftwright.operators.overlap import best_match, contained, per_split_sample, shared, shingles
 from siftwright.operators.pool import dev_split, keep_first, upweight, with_keys, without_keys
 from siftwright.operators.questions import FOREIGN, LANGUAGE, about_language
 from siftwright.operators.reports import accuracy, cumulative_counts, gains_by, running_accuracy, with_position
@@ -211,6 +212,13 @@ def shingle_overlap_pairs(spark, sf_dir):
     return shared(docs, "doc_id", bench, "item_id")
 
 
+@_query(f"WITH {_pairs_sql(_runs_sql)} SELECT doc_id, item_id, inter, inter / m AS containment FROM met JOIN bn USING (item_id) WHERE inter / m >= 0.8")
+def shingle_containment(spark, sf_dir):
+    """Documents that hold most of a benchmark item's shingles, however long they are."""
+    docs, bench = _shingled(spark, sf_dir)
+    return contained(docs, "doc_id", bench, "item_id", 0.8)
+
+
 SWEEP = (1.0, 0.9, 0.8, 0.7, 0.1)  # fixed values: the thresholds of a sweep, and one that this small data reaches
 
 
@@ -240,14 +248,14 @@ def minhash_candidates(spark, sf_dir):
     return verified_candidates(docs, "doc_id", bench, "item_id", SURE)
 
 
+def _options(spark, sf_dir, table: str, key: str) -> DataFrame:
+    """Pieces of a text as options; where there are none, there is no row."""
+    return _table(spark, sf_dir, table).select(key, distinct_pieces(F.col("text"), r"[.\n]").alias("items")).where(F.size("items") > 0)
+
+
 @_query(f"WITH {_pairs_sql(_lines_sql)} SELECT item_id, doc_id, inter, n_union FROM pairs QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY inter / n_union DESC, doc_id) = 1")
 def option_best_match(spark, sf_dir):
-    def options(t: str, i: str) -> DataFrame:
-        texts = F.explode(F.split("text", r"[.\n]"))
-        pieces = _table(spark, sf_dir, t).select(i, texts.alias("t")).select(i, plain_words(F.col("t")).alias("t")).where("t <> ''")
-        return pieces.groupBy(i).agg(F.collect_set("t").alias("items"))
-
-    return best_match(shared(options("documents", "doc_id"), "doc_id", options("benchmark", "item_id"), "item_id"), "doc_id", "item_id")
+    return best_match(shared(_options(spark, sf_dir, "documents", "doc_id"), "doc_id", _options(spark, sf_dir, "benchmark", "item_id"), "item_id"), "doc_id", "item_id")
 
 
 _ASKED = ("Rispondi alla seguente domanda a scelta multipla sull'argomento '" + "prova" + DIRECT[0], DIRECT[1], DIRECT[2])

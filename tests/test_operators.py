@@ -9,7 +9,8 @@ from siftwright.functions.answers import announced_answer, robust_answer
 from siftwright.functions.arrays import jaccard
 from siftwright.functions.prompts import messages, plain_prompt
 from siftwright.functions.text import plain_words
-from siftwright.operators.overlap import bands_for, shared, shingles, verified_candidates
+from siftwright.operators.lsh import bands_for, verified_candidates
+from siftwright.operators.overlap import shared, shingles
 from siftwright.operators.questions import from_labels, from_letters, from_quiz
 from siftwright.operators.reports import running_accuracy
 from siftwright.sources.jsonl import read_jsonl, write_jsonl
