@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwright.functions.arrays import total
@@ -50,5 +50,26 @@ def residual(shared: Column) -> Column:
     return 1.0 - total(shared)
 
 
+def surrogate(log_p: Column, log_q: Column, token: Column) -> Column:
+    """What a sampled token adds to the loss: its log-probability times its divergence, which is held constant."""
+    return F.get(log_p, token) * sampled_kl(log_p, log_q, token)
+
+
+def chunk_means(tokens: DataFrame, by: str, real: Column, **stats: Column) -> DataFrame:
+    """(by, n, loss, ...): sums of ``loss`` and means of the other stats over the real tokens of each chunk.
+
+    Padding is kept out by ``real``; a chunk without real tokens has none and no means.
+    """
+    held = {k: F.when(real, v) for k, v in stats.items()}
+    sums = [(F.coalesce(F.sum(v), F.lit(0.0)) if k == "loss" else F.avg(v)).alias(k) for k, v in held.items()]
+    return tokens.groupBy(by).agg(F.count_if(F.coalesce(real, F.lit(False))).alias("n"), *sums)
+
+
+def step_means(chunks: DataFrame, *stats: str) -> DataFrame:
+    """One row: tokens, the loss by token, and each chunk's means weighted by its tokens."""
+    n = F.sum("n").cast("double")
+    return chunks.agg(F.sum("n").alias("tokens"), F.try_divide(F.sum("loss"), n).alias("loss"), *(F.try_divide(F.sum(F.col(s) * F.col("n")), n).alias(s) for s in stats))
+
+
 def sampled_kl(log_p: Column, log_q: Column, token: Column) -> Column:
     return F.get(log_p, token) - F.get(log_q, token)

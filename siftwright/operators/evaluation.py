@@ -61,10 +61,20 @@ def mode_crosstab(records: DataFrame) -> DataFrame:
     return out.withColumn("net", F.col("fixed") - F.col("broke"))
 
 
-def broken_cases(records: DataFrame, model: str, shown: int = 3, chars: int = 400) -> DataFrame:
-    """The first ``shown`` questions, by index, that reasoning got wrong and a fast answer didn't."""
-    found = paired_modes(records.where(F.col("model") == model)).where(F.col("fast_right") & ~F.col("slow_right"))
-    return found.select("index", "answer", F.col("robust").alias("predicted"), F.substring("output", 1, chars).alias("reasoning")).orderBy("index").limit(shown)
+def broken_cases(records: DataFrame, model: str, shown: int = 3, chars: int = 400, line: int | None = None) -> DataFrame:
+    """The first ``shown`` questions, by index, that reasoning got wrong and a fast answer didn't.
+
+    line: records have ``messages`` (role, content), and the result gets that line, from the
+    end, of the last thing the user said, empty if there is none.
+    """
+    own = records.where(F.col("model") == model)
+    found = paired_modes(own).where(F.col("fast_right") & ~F.col("slow_right"))
+    first = found.select("index", "answer", F.col("robust").alias("predicted"), F.substring("output", 1, chars).alias("reasoning")).orderBy("index").limit(shown)
+    if line is None:
+        return first
+    asked = F.element_at(F.filter("messages", lambda m: m["role"] == "user"), -1)["content"]
+    told = own.where(F.col("mode") == "slow").select("index", F.coalesce(line_from_end(asked, line), F.lit("")).alias("line"))
+    return first.join(told, "index")
 
 
 def line_from_end(text: Column, k: int) -> Column:

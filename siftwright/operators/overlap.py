@@ -1,4 +1,4 @@
-"""Overlap of texts with a benchmark: shared shingles, shared options, samples of splits.
+"""Overlap of texts with a benchmark: shared shingles, shared options.
 
 Pool rows leave behind, before anything is shuffled, what a Bloom filter of the benchmark's
 items doesn't know. Pairs of rows of the pool are never made.
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwright.sources.shared import Workspace
@@ -133,9 +133,3 @@ def best_match(pairs: DataFrame, pool_id: str, bench_id: str) -> DataFrame:
 def accepted(option_sim: Column, stem_sim: Column, generic: Column, least: float = 0.6, least_generic: float = 0.5) -> Column:
     """Whether shared options make a match; sets that many questions have need a similar stem."""
     return (option_sim >= least) & (~generic | (stem_sim >= least_generic))
-
-
-def per_split_sample(rows: DataFrame, split: str, key: Column, cap: int) -> DataFrame:
-    """At most ``cap`` rows of each split: those of the smallest keys, an exact uniform sample."""
-    nth = F.row_number().over(Window.partitionBy(split).orderBy(key))
-    return rows.withColumn("__nth", nth).where(F.col("__nth") <= cap).drop("__nth")

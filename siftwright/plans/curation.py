@@ -11,6 +11,7 @@ from siftwright.functions.text import question_hash
 from siftwright.operators.pool import dev_split, without_keys
 from siftwright.operators.questions import normal_options
 from siftwright.operators.draws import regime_draw
+from siftwright.operators.sampling import draw, smallest
 from siftwright.plans.registry import _HASH, _query, _table
 
 
@@ -20,18 +21,14 @@ def train_rows(spark, sf_dir):
     return without_keys(docs, F.col("h"), dev_split(docs, F.col("h"), [F.col("doc_id")], 500), F.col("h")).select("doc_id")
 
 
-def _draw(seed: int) -> F.Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string")).cast("binary"))
-
-
 @_query("SELECT doc_id, source FROM documents ORDER BY md5('11:' || doc_id), doc_id LIMIT 300")
 def budget_sample_300(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", "source").orderBy(_draw(11), "doc_id").limit(300)
+    return smallest(_table(spark, sf_dir, "documents").select("doc_id", "source"), draw(11, F.col("doc_id")), [F.col("doc_id")], 300)
 
 
 @_query("SELECT doc_id, md5('5:' || doc_id) AS draw FROM documents ORDER BY draw, doc_id")
 def seeded_shuffle(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", _draw(5).alias("draw")).orderBy("draw", "doc_id")
+    return _table(spark, sf_dir, "documents").select("doc_id", draw(5, F.col("doc_id")).alias("draw")).orderBy("draw", "doc_id")
 
 
 @_query("SELECT doc_id, substr(text, 1, 150) AS opening FROM documents ORDER BY doc_id LIMIT 12")

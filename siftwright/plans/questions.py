@@ -6,9 +6,6 @@ its first words are options, and its id decides the answer and what a source lea
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +13,7 @@ from siftwright.functions.prompts import messages, plain_prompt
 from siftwright.operators.questions import from_labels, from_letters, from_quiz, from_split
 from siftwright.plans.registry import _quoted, _query, _table
 from siftwright.sources.jsonl import read_bench, read_pool, read_splits, write_jsonl
+from siftwright.sources.shared import Workspace
 
 _WORDS = "string_split(text, ' ')[1:4]"
 
@@ -115,11 +113,8 @@ def prompts_with_shots(spark, sf_dir):
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder that all executors share; a temporary one only on a local master without spark.checkpoint.dir."""
-    told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not told and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{(told or tempfile.mkdtemp(prefix='siftwright-')).rstrip('/')}/siftwright/{uuid.uuid4().hex[:12]}"
+    """A new folder that all executors share."""
+    return Workspace(spark, "files").path("lines")
 
 
 _LINES_SQL = "array_to_string(list_transform({w}, lambda w, i: substr('ABCD', i, 1) || ') ' || w), chr(10))"
@@ -145,9 +140,10 @@ def bench_through_jsonl(spark, sf_dir):
 
 @_query("SELECT CASE WHEN lang = 'de' THEN 'german' ELSE 'other' END AS split, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids, 1 AS failed FROM documents WHERE lang IS NOT NULL GROUP BY split")
 def splits_through_jsonl(spark, sf_dir):
-    """All splits of a source; one that can't be read is a warning."""
+    """All splits of a source; one that isn't there is a warning."""
     docs, path = _table(spark, sf_dir, "documents").select("doc_id", "lang"), _folder(spark)
     write_jsonl(docs.where("lang = 'de'"), f"{path}/german")
     write_jsonl(docs.where("lang <> 'de'"), f"{path}/other")
     rows, warnings = read_splits(spark, {"german": f"{path}/german", "other": f"{path}/other", "gone": f"{path}/gone"}, "doc_id long, lang string")
-    return rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids")).withColumn("failed", F.lit(len(warnings)))
+    counts = rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids"))
+    return counts.join(F.broadcast(warnings.agg(F.count(F.lit(1)).cast("int").alias("failed"))))

@@ -14,9 +14,10 @@ from siftwright.functions.text import FRAME_WORDS, content_tokens, distinct_piec
 from siftwright.operators.chat import valid_conversations
 from siftwright.operators.nearest import nearest
 from siftwright.operators.lsh import verified_candidates
-from siftwright.operators.overlap import best_match, contained, per_split_sample, shared, shingles
+from siftwright.operators.overlap import best_match, contained, shared, shingles
 from siftwright.operators.pool import dev_split, keep_first, upweight, with_keys, without_keys
 from siftwright.operators.questions import FOREIGN, LANGUAGE, about_language
+from siftwright.operators.sampling import draw, smallest
 from siftwright.operators.reports import accuracy, cumulative_counts, gains_by, running_accuracy, with_position
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -329,7 +330,7 @@ def coverage_cumulative(spark, sf_dir):
 @_query("SELECT source, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY md5('7:' || doc_id), doc_id) <= 20")
 def sample_per_source_20(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("source", "doc_id")
-    return per_split_sample(docs, "source", F.struct(F.md5(F.concat(F.lit("7:"), F.col("doc_id").cast("string")).cast("binary")), "doc_id"), 20)
+    return smallest(docs, draw(7, F.col("doc_id")), [F.col("doc_id")], 20, ["source"])
 
 
 @_query(f"SELECT doc_id, regexp_matches(text, {_quoted(LANGUAGE)}) AND NOT regexp_matches(text, {_quoted(FOREIGN)}) AS about_language FROM documents")

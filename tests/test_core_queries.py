@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from siftwright.plans import curation, evaluation, leaks, matching, prompts, questions  # noqa: F401  they register their queries
+from siftwright.plans import curation, evaluation, leaks, matching, prompts, questions, runs  # noqa: F401  they register their queries
 from siftwright.plans.registry import ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")

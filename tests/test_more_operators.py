@@ -34,7 +34,8 @@ def test_sources(spark, tmp_path):
     with pytest.raises(ValueError):
         read_shots(spark, bench, most=0)
     rows, warnings = read_splits(spark, {"one": pool, "gone": str(tmp_path / "none.jsonl")}, "question string")
-    assert [tuple(r) for r in rows.collect()] == [("q", "one")] and len(warnings) == 1
+    assert [(r.question, r.split, r.file_order) for r in rows.collect()] == [("q", "one", 0)]
+    assert [(r.split, r.kind, r.n) for r in warnings.collect()] == [("gone", "source", 1)]
     file = tmp_path / "custom_openai_big_italic_fast_1.json"
     file.write_text(json.dumps({"results": [{"index": 1, "output": "A", "answer": "A"}, {"index": 2, "output": "", "answer": "B"}, {"index": 1, "output": "C", "answer": "A"}]}))
     named = read_jsonl(spark, str(file), "results array<struct<index:int,output:string,answer:string>>", with_file=True)
