@@ -83,6 +83,11 @@ def line_from_end(text: Column, k: int) -> Column:
     return F.get(lines, F.size(lines) - k)
 
 
+def well_formed(letter: Column, options: Column) -> Column:
+    """Whether a letter that was read is one of the row's own options (letter, text); an empty or null one isn't."""
+    return F.coalesce(F.exists(options, lambda o: o["letter"] == letter), F.lit(False))
+
+
 def looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """rows joined with table on key; a key that table lacks is an error, raised when the row is read."""
     has = table.withColumn("__has", F.lit(True))

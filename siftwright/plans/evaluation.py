@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwright.functions.text import lone_letter
-from siftwright.operators.evaluation import broken_cases, last_records, line_from_end, looked_up, mode_crosstab, mode_report, weighted_mean
+from siftwright.operators.evaluation import broken_cases, last_records, line_from_end, looked_up, mode_crosstab, mode_report, weighted_mean, well_formed
 from siftwright.plans.registry import _OPENINGS, _letter_sql, _query, _quoted, _table
 from siftwright.functions.answers import ANNOUNCED, NO_ANSWER, PHRASES
 
@@ -85,6 +85,19 @@ def dev_accuracy(spark, sf_dir):
     return dev.groupBy("mode").agg(F.count(F.lit(1)).alias("n"), share(F.col("letter") == F.col("answer")).alias("accuracy"), share(F.col("letter").isin(*"ABCD")).alias("format_ok"), F.avg(F.length("output")).alias("mean_len"))
 
 
+_OWN = "substr('ABCD', 1, CAST(2 + index % 3 AS INTEGER))"
+
+
+@_query(f"WITH {_RUNS}, said AS (SELECT *, {_LONE} AS letter FROM runs) SELECT mode, count(*) AS n, avg(CAST(letter = answer AS INTEGER)) AS accuracy, avg(CAST(letter <> '' AND contains({_OWN}, letter) AS INTEGER)) AS format_ok, avg(length(said)) AS mean_len FROM said GROUP BY mode")
+def answer_formats(spark, sf_dir):
+    """Whether answers are letters of the question's own options; a question has two to four."""
+    many = F.pmod(F.col("index"), F.lit(3)).cast("int") + 2
+    options = F.transform(F.slice(F.array(*map(F.lit, "ABCD")), F.lit(1), many), lambda c: F.struct(c.alias("letter"), F.lit("").alias("text")))
+    rows = _runs(spark, sf_dir).withColumns({"options": options, "letter": lone_letter(F.col("output"))})
+    share = lambda c: F.avg(c.cast("int"))
+    return rows.groupBy("mode").agg(F.count(F.lit(1)).alias("n"), share(F.col("letter") == F.col("answer")).alias("accuracy"), share(well_formed(F.col("letter"), F.col("options"))).alias("format_ok"), F.avg(F.length("output")).alias("mean_len"))
+
+
 @_query(r"SELECT item_id, list_extract(regexp_split_to_array(text || chr(10) || 'a' || chr(10) || 'b', '\n'), -2) AS line FROM benchmark")
 def lines_from_end(spark, sf_dir):
     return _table(spark, sf_dir, "benchmark").select("item_id", line_from_end(F.concat(F.col("text"), F.lit("\na\nb\n")), 2).alias("line"))

@@ -19,7 +19,9 @@ from siftwright.functions.text import FRAME_WORDS, content_tokens, distinct_piec
 from siftwright.operators.matching import best_hit, compared, generic, match_report, semantic_hit, verified
 from siftwright.operators.nearest import top_k
 from siftwright.operators.overlap import best_match, shared
-from siftwright.plans.registry import _LINES, _PLAIN, QUERIES, _lines_sql, _options, _pairs_sql, _query, _quoted, _runs_sql, _shingles, _table
+from siftwright.plans.registry import _LINES, _PLAIN, EDGES, ORACLES, QUERIES, _lines_sql, _options, _pairs_sql, _query, _quoted, _runs_sql, _shingles, _table
+from siftwright.sources.jsonl import read_report, write_report
+from siftwright.sources.shared import Workspace
 
 _COSINE = "list_dot_product(p.v, b.v) / (sqrt(list_dot_product(p.v, p.v)) * sqrt(list_dot_product(b.v, b.v)))"
 _TOP = f"""v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
@@ -76,6 +78,14 @@ def semantic_match_report(spark, sf_dir):
     return match_report(_matches(spark, sf_dir), n, F.col("content_sim") < 0.05)
 
 
+@_query(ORACLES["semantic_match_report"])
+def match_report_in_a_file(spark, sf_dir):
+    """The same report, written as an indented JSON object and read back."""
+    row, path = semantic_match_report(spark, sf_dir), Workspace(spark, "report").path("report.json")
+    write_report(row, path)
+    return read_report(spark, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in row.schema.fields))
+
+
 _SEM = (0.3, 0.35, 0.4)
 _CHECK = f"sim >= {_SEM[0]} AND (option_sim >= {LEAST_OPTIONS} OR content_sim >= {LEAST_CONTENT})"
 
@@ -93,6 +103,28 @@ def verified_coverage(spark, sf_dir):
     return rows.agg(n.alias("n"), F.count_if(sure).alias("verified"), pct(sure).alias("verified_pct"), *reached)
 
 
+@_query(
+    f"""WITH {_TOP}, best AS (SELECT sim FROM top WHERE rank = 1), e AS (SELECT unnest({list(EDGES[:-1])})::DOUBLE AS lo, unnest({list(EDGES[1:])})::DOUBLE AS hi)
+SELECT lo, count(sim) AS n FROM e LEFT JOIN best ON sim >= lo AND sim < hi GROUP BY lo"""
+)
+def item_coverage_histogram(spark, sf_dir):
+    """How near each benchmark row's best pool row is, in bands; a negative similarity is in none."""
+    best = _top(spark, sf_dir, 1)
+    counts = best.agg(*(F.count_if((F.col("sim") >= lo) & (F.col("sim") < hi)).alias(str(k)) for k, (lo, hi) in enumerate(zip(EDGES, EDGES[1:]))))
+    return counts.select(F.inline(F.array(*(F.struct(F.lit(lo).alias("lo"), F.col(str(k)).alias("n")) for k, lo in enumerate(EDGES[:-1])))))
+
+
+# the references that the pages have; that to an ampersand is resolved last, so that each is resolved once
+_UNESCAPED = "replace(replace(replace(replace(html, '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), '&amp;', '&')"
+
+
+@_query(f"SELECT page_id, md5({_PLAIN.replace('text', _UNESCAPED)}) AS plain_md5, len(string_split({_PLAIN.replace('text', _UNESCAPED)}, ' ')) AS n_words FROM pages")
+def pages_normalised(spark, sf_dir):
+    """Whole pages with their character references resolved, folded and with white space collapsed, told by a digest."""
+    plain = _table(spark, sf_dir, "pages").select("page_id", plain_words(unescaped(F.col("html"))).alias("t"))
+    return plain.select("page_id", F.md5(F.col("t").cast("binary")).alias("plain_md5"), F.size(F.split("t", " ")).cast("long").alias("n_words"))
+
+
 _BANDS = (0.3, 0.35, 0.4, 0.45, 1.01)
 
 

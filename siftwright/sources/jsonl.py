@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
@@ -35,9 +33,14 @@ def run_of(file: str = "file") -> tuple:
     return F.regexp_extract(name, "custom_openai_(.*?)_italic_", 1), F.when(F.contains(name, F.lit("_fast_")), "fast").otherwise("slow")
 
 
-def report(row: DataFrame) -> str:
-    """A one-row result as indented JSON."""
-    return json.dumps(row.first().asDict(recursive=True), indent=2, ensure_ascii=False)
+def write_report(row: DataFrame, path: str) -> None:
+    """A one-row result as one indented JSON object, nulls and nested values included, in a file of its own."""
+    text = F.to_json(F.struct(*row.columns), {"pretty": "true", "ignoreNullFields": "false"})
+    row.select(text.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
 _PAIRS = "array<array<string>>"

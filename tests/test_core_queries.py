@@ -19,7 +19,7 @@ def _rows(frame):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_rows_are_those_of_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "benchmark", "labels", "conversations", "embeddings"):
+    for table in ("documents", "benchmark", "labels", "conversations", "embeddings", "pages"):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
     assert _rows(QUERIES[name](spark, SF).toPandas()) == _rows(con.sql(ORACLES[name]).df())
 
