@@ -7,14 +7,19 @@ from collections import Counter
 from itertools import combinations
 from zlib import crc32
 
+import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siftwright.llm import ngram_join
+from siftwright.llm import mixing, ngram_join
 from siftwright.llm.classify import fit_language, fit_quality, identify_language, score_quality
 from siftwright.llm.decontaminate import drop_contaminated, find_contamination
 from siftwright.llm.ngram_join import jaccard_components, keep_one_of_each
+from siftwright.llm.subword import Model, Shape
+from tests.llm.test_lines_tokens import _plain as _without_runs
 
 
 def _lower(text):
@@ -149,6 +154,50 @@ def test_language_is_learned(spark):
     assert len(sure) >= 0.9 * len(out)
 
 
+_M64 = (1 << 64) - 1
+
+
+def _mixed(x):
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = ((x ^ (x >> shift)) * factor) & _M64
+    return x ^ (x >> 31)
+
+
+def _word_hash(word):
+    low = bytes(b + 32 if 65 <= b <= 90 else b for b in word)
+    if len(word) > 256:
+        return _mixed(int.from_bytes(hashlib.blake2b(low, digest_size=8).digest(), "little"))
+    return _mixed(sum((b + 1) * pow(0x9E3779B97F4A7C15, k, 1 << 64) for k, b in enumerate(low)) & _M64)
+
+
+def _buckets(text, log2, lower):
+    """The features of a text, kind by kind, one at a time."""
+    data = text.encode()
+    seen = bytes(b + 32 if lower and 65 <= b <= 90 else b for b in data)
+    for n in (3, 4):
+        codes = [int.from_bytes(seen[k : k + n], "little") for k in range(len(seen) - n + 1)]
+        yield [((((c * 0x9E3779B1) & 0xFFFFFFFF) ^ (0x85EBCA6B * n & 0xFFFFFFFF)) * 0xC2B2AE35 & 0xFFFFFFFF) >> (32 - log2) for c in codes]
+    hashes = [_word_hash(w) for w in re.split(rb"[\x20\x09-\x0D]+", data) if w]
+    yield [_mixed(h ^ 1) >> (64 - log2) for h in hashes]
+    yield [_mixed(0 if a == b else _mixed((a * 0xD6E8FEB86659FD93 + b) & _M64)) >> (64 - log2) for a, b in zip(hashes, hashes[1:])]
+
+
+@pytest.mark.parametrize("lower", [False, True])
+def test_scores_are_those_of_a_plain_loop(lower):
+    r = np.random.default_rng(8)
+    shape = Shape(buckets_log2=9, lower=lower)
+    model = Model(shape, ["a", "b", "c"], r.normal(size=(512, 3)).astype(np.float32), r.normal(size=3), temperature=0.7)
+    texts = ["Some WORDS here, here here", "", None, "ü", "ab", "  \n", "é" * 5000, "W" * 300 + " w", "x y " * 3000, "last Text"]
+    got = model.scores(pa.array(texts))
+    for own, text in zip(got, texts):
+        logits = np.array(model.bias, np.float64)
+        for kind in _buckets(text or "", 9, lower):
+            for bucket in kind:
+                logits += model.table[bucket].astype(np.float64) / (4 * len(kind))
+        want = np.exp(logits / 0.7) / np.exp(logits / 0.7).sum()
+        assert own == pytest.approx(want, abs=1e-9)
+
+
 def test_classifiers_on_awkward_rows(spark):
     rows = [(i, "good words here" if i % 2 else "BAD 123", ["de", "en"][i % 2], 0.5, True) for i in range(40)] + [(100, None, "de", 0.0, False), (101, "", "en", 0.0, False), (102, "12 34", None, 0.0, False), (103, "x" * 300_000, "en", 0.0, False), (103, "x", "en", 0.0, False)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, held_out boolean")
@@ -183,8 +232,20 @@ def test_stages_take_effect_one_after_another(spark):
         elif name == "decontamination":
             assert sorted(after.doc_id) == sorted(i for i, t in zip(before.doc_id, before.text) if not _contamination(t, items)[4])
         elif name == "line_dedup":
+            # texts in the order of their ids, those without one empty, as whole rows are compared
+            order = before.sort_values("doc_id", kind="stable")
+            once = order.drop_duplicates("doc_id")
+            want = dict(zip(once.doc_id, _without_runs([t or "" for t in once.text], 50)))
             assert sorted(after.doc_id) == sorted(before.doc_id)
+            own = {(i, t) for i, t in zip(after.doc_id, after.text) if t}
+            assert own == {(i, t) for i, t in want.items() if t}
+        elif name == "mixing":
+            con = duckdb.connect()
+            con.register("documents", before)
+            times = Counter(zip(after.doc_id.map(int), after.epoch.map(int)))
+            assert times == Counter((r[0], r[1]) for r in con.sql(f"SELECT doc_id, epoch FROM ({mixing.SQL})").df().itertuples(index=False, name=None)) and times
         else:
-            assert set(after.doc_id) <= set(before.doc_id) and len(after)
+            scored = score_quality(spark.createDataFrame(before), fit_quality(spark.createDataFrame(before), spark.read.parquet(f"{sf_dir}/labels.parquet")), keep=["doc_id"])
+            assert sorted(after.doc_id) == sorted(r.doc_id for r in scored.where("predicted = 1").collect()) and len(after)
         if name != "mixing":
             assert list(after.columns) == list(before.columns)
