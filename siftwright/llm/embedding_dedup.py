@@ -32,9 +32,10 @@ _STEPS = (8, 16, 32, 64, 128, 256, 512)  # components after which a comparison s
 _SLACK = 1e-9  # above what rounding in the bounds can lose
 _PAIRS = 1 << 16  # cosines computed at once
 HOT = 1 << 20  # rows of a class that are never brought to one task
+MEET = 256  # tiles of a part whose boxes are held against those of another in one task, about
 _NEIGHBOURS = 8  # tasks that share the comparisons of one tile
 _CLASS = ["__k1", "__k2"]
-_WORLD = "__label int, __dim int"
+_WORLD = "__label long, __dim int"
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -102,7 +103,7 @@ def _store_tile(folder: str, axes: dict[int, np.ndarray]):
         with store.open_output_stream(f"{root}/{name}") as f:
             f.write(held.getbuffer())
         lead = rotated[:, :CELL_BITS]
-        return pa.table({"__label": [key[0].as_py()], "__dim": [key[1].as_py()], "tile": [name], "lo": [lead.min(axis=0)], "hi": [lead.max(axis=0)]}, schema=pa.schema([("__label", pa.int32()), ("__dim", pa.int32()), ("tile", pa.string()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64()))]))
+        return pa.table({"__label": [key[0].as_py()], "__dim": [key[1].as_py()], "tile": [name], "lo": [lead.min(axis=0)], "hi": [lead.max(axis=0)]}, schema=pa.schema([("__label", pa.int64()), ("__dim", pa.int32()), ("tile", pa.string()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64()))]))
 
     return store_tile
 
@@ -226,7 +227,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     Rows link when their labels are equal and their cosine in double precision is at least
     threshold. Defined results: a null label, a null vector, one without components, one of
     zeros only, and one with a null or non-finite component link with nothing, and neither
-    does a row without vec_id; vectors of different lengths don't link. Rows that share a
+    does a row without vec_id; vectors of different lengths don't link; labels that aren't whole
+    numbers are told apart by a 64-bit hash. Rows that share a
     vec_id are rows of their own for n_links and one node for component_id. kept is whether
     component_id is the row's own id (true for null). An empty table gives no rows; other
     columns aren't read.
@@ -236,7 +238,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     folder = work.path("tiles")
     folder = folder if ":" in folder.split("/")[0] else os.path.abspath(folder)
     v = F.col("embedding").cast("array<double>")
-    whole = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("int").alias("__label"), v.alias("__v"))
+    number = vectors.schema["label"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    label = F.col("label").cast("long") if number else F.when(F.col("label").isNotNull(), F.xxhash64("label"))
+    whole = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), label.alias("__label"), v.alias("__v"))
     able = F.col("vec_id").isNotNull() & F.col("__label").isNotNull() & _comparable(F.col("__v"))
     # adding zero makes a negative zero an ordinary one
     whole = whole.withColumn("__v", F.when(able, F.transform("__v", lambda x: x + F.lit(0.0))))
@@ -245,7 +249,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     per_class = whole.where(able).groupBy(*_CLASS).agg(F.min("vec_id").alias("__id"), F.count(F.lit(1)).alias("__many"), F.first("__label").alias("__label"), F.first("__v").alias("__v"))
     classes = work.write(per_class.withColumn("__key", F.monotonically_increasing_id()).withColumn("__dim", F.size("__v")), "classes")
     axes = principal_axes(classes)
-    names = "__key long, __id long, __many long, __label int, __v array<double>, __dim int"
+    names = "__key long, __id long, __many long, __label long, __v array<double>, __dim int"
     placed = work.write(classes.select("__key", "__id", "__many", "__label", "__v", "__dim").mapInArrow(_rotate(axes), f"{names}, __cell int"), "placed")
     # a label has about as many cells as it fills tiles, so that few classes are one tile
     per_label = placed.groupBy("__label", "__dim").agg(F.floor(F.greatest(F.lit(0.0), F.log2(F.count(F.lit(1)) / tile))).cast("int").alias("__bits"))
@@ -256,10 +260,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     dealt = dealt.select("__key", "__id", "__many", "__label", "__v", "__dim", "__cell", "__part")
     stored = dealt.groupBy("__label", "__dim", "__cell", "__part").applyInArrow(_store_tile(folder, axes), f"{_WORLD}, tile string, lo array<double>, hi array<double>")
     tiles = work.write(stored, "tile-list")
-    other = tiles.select("__label", "__dim", F.col("tile").alias("tile2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    # a label's tiles are cut into parts, and each two parts meet under a key of their own
+    parts = work.write(tiles.groupBy("__label", "__dim").agg(F.ceil(F.count(F.lit(1)) / MEET).cast("int").alias("parts")), "parts")
+    own = tiles.join(small(parts, F.lit(12)), ["__label", "__dim"]).withColumn("part", F.pmod(F.xxhash64("tile"), F.col("parts")).cast("int"))
+    each = own.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"p": F.least("part", "with"), "q": F.greatest("part", "with")})
+    each = each.select("__label", "__dim", "p", "q", "part", "tile", "lo", "hi")
+    other = each.withColumnsRenamed({"part": "part2", "tile": "tile2", "lo": "lo2", "hi": "hi2"})
+    once = (F.col("tile") <= F.col("tile2")) & ((F.col("p") == F.col("q")) | (F.col("part") != F.col("part2")))
     gaps = F.transform(F.arrays_zip("lo", "hi", "lo2", "hi2"), lambda x: F.greatest(x["lo"] - x["hi2"], x["lo2"] - x["hi"], F.lit(0.0)))
     apart = F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g)
-    near = tiles.join(other, ["__label", "__dim"]).where((F.col("tile") <= F.col("tile2")) & (apart <= 2 - 2 * threshold + _SLACK))
+    near = each.join(other, ["__label", "__dim", "p", "q"]).where(once & (apart <= 2 - 2 * threshold + _SLACK))
     n_tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # a task reads a tile once for all its comparisons
     dealt = near.select("tile", "tile2").repartition(n_tasks, "tile", F.pmod(F.xxhash64("tile2"), F.lit(_NEIGHBOURS))).sortWithinPartitions("tile")

@@ -48,6 +48,7 @@ def test_archives_give_back_every_page(spark, range_bytes):
 def test_near_duplicates_are_those_of_all_pairs(spark, monkeypatch, tile, broadcast):
     monkeypatch.setattr(workspace, "BROADCAST_BYTES", broadcast)
     monkeypatch.setattr(embedding_dedup, "HOT", 4)
+    monkeypatch.setattr(embedding_dedup, "MEET", 3)
     r = np.random.default_rng(5)
     centres = r.normal(size=(6, 24))
     rows = [(k, (centres[k % 6] + r.normal(size=24) * r.choice([0.0, 0.05, 0.12, 0.2])).tolist(), int(k % 2)) for k in range(150)]
@@ -66,6 +67,8 @@ def test_near_duplicates_are_those_of_all_pairs(spark, monkeypatch, tile, broadc
         assert got[i] == (len(links.get(i, ())), min(seen), min(seen) == i)
     assert len(got) == vectors.count() == near_duplicates(vectors, tile=tile).count()
     assert near_duplicates(vectors.limit(0)).count() == 0
+    for other in (F.col("label").cast("long") + 2**40, F.concat(F.lit("label "), F.col("label").cast("string"))) if tile == 1024 else ():
+        assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_duplicates(vectors.withColumn("label", other)).collect()} == got
 
 
 def _uneven():
