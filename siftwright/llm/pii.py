@@ -94,9 +94,9 @@ def _plain(c: str) -> str | None:
 
 
 # letters that look like digits, among digits
-_AMONG_DIGITS = re.compile(r"(?:(?<=[0-9])|(?<=[0-9][ .-])|(?<![A-Za-z0-9.@_+-])(?=[OoIl|]+[0-9]))[OoIl|]+(?=[ ().-]{0,2}[0-9])")
+_AMONG_DIGITS = re.compile(r"(?:(?<=[0-9])|(?<=[0-9][ .-])|(?<![A-Za-z0-9.@_+-])(?=[OoIl|]+[0-9]))[OoIl|]+(?=[ ().-]{0,2}[0-9])|(?<=[0-9OoIl|][0-9])[OoIl|]+(?![A-Za-z0-9])")
 _AS_DIGITS = str.maketrans("OoIl|", "00111")
-_SPELLED_NUMBER = re.compile(r"[0-9][OoIl| .-]{1,8}[0-9]|[OIl|][0-9]{2}")
+_SPELLED_NUMBER = re.compile(r"[0-9][OoIl| .-]{1,8}[0-9]|[OIl|][0-9]{2}|[0-9OoIl|][0-9][OoIl|]")
 
 
 def homoglyphs(text: str) -> str:
@@ -134,21 +134,24 @@ _PART = re.compile(_ATOM, re.I)
 
 _OPEN, _CLOSE = r"[\[({<][ \t]{0,3}", r"[ \t]{0,3}[\])}>]"
 _SIGNS = re.compile(
-    rf"(?P<at>[ \t]{{0,3}}{_OPEN}(?:{_AT_WORDS}|@){_CLOSE}[ \t]{{0,3}})|(?P<dot>[ \t]{{0,3}}{_OPEN}(?:{_DOT_WORDS}|\.){_CLOSE}[ \t]{{0,3}})"
+    rf"(?P<at>[ \t]{{0,3}}{_OPEN}(?:{_AT_WORDS}|@){_CLOSE}[ \t]{{0,3}}|&\#64;|&commat;|%40)|(?P<dot>[ \t]{{0,3}}{_OPEN}(?:{_DOT_WORDS}|\.){_CLOSE}[ \t]{{0,3}}|&\#46;|&period;)"
     rf"|(?P<sign>(?<=\w)[ \t]{{1,3}}@[ \t]{{1,3}}(?=\w))|(?P<none>[\u00AD\u200B-\u200F\u2060\uFEFF]+)",
     re.I,
 )
-_SIGN_HINT = re.compile(rf"{_OPEN}(?:{_AT_WORDS}|{_DOT_WORDS}|@|\.){_CLOSE}|[ \t]@[ \t]|[\u00AD\u200B-\u200F\u2060\uFEFF]", re.I)
+_SIGN_HINT = re.compile(rf"&(?:\#(?:64|46)|commat|period);|%40|{_OPEN}(?:{_AT_WORDS}|{_DOT_WORDS}|@|\.){_CLOSE}|[ \t]@[ \t]|[\u00AD\u200B-\u200F\u2060\uFEFF]", re.I)
 _LABEL = r"[A-Za-z0-9-]+"
 _DOT = rf"(?:[ \t]{{1,3}}(?:{_DOT_WORDS})[ \t]{{1,3}}|_(?:{_DOT_WORDS})_)"
+_ANY_DOT = rf"(?:{_DOT}|[ \t]{{1,3}}\.[ \t]{{1,3}})"  # where the other sign is certain
 # words alone are a disguise only where both signs are words and the domain is a known one, or where the sign is certain
 _SAID = re.compile(
     rf"(?<![\w.@%+-])(?P<local>[A-Za-z0-9%+-]+(?:[._][A-Za-z0-9%+-]+){{0,6}}?(?:{_DOT}[A-Za-z0-9%+-]+(?:\.[A-Za-z0-9%+-]+){{0,3}}){{0,4}})(?P<at>[ \t]{{1,3}}(?:{_AT_WORDS})[ \t]{{1,3}}|_(?:{_AT_WORDS})_)(?!(?:{_NO_HOST})[ \t])"
     rf"(?P<host>{_LABEL}(?:(?:{_DOT}|\.){_LABEL}){{0,6}}{_DOT}(?:{_TOP}))(?![\w-])",
     re.I,
 )
-_AFTER_AT = re.compile(rf"(?<=@){_LABEL}(?:(?:{_DOT}|\.){_LABEL}){{0,6}}{_DOT}(?:{_TOP})(?![\w-])", re.I)
-_DOT_ONLY = re.compile(_DOT, re.I)
+# a name of letters with figures or signs, before a word for the sign and a plain domain
+_NAMED = re.compile(rf"(?<![\w.@%+-])(?=[A-Za-z0-9._+-]{{0,64}}[A-Za-z])(?=[A-Za-z+-]{{0,64}}[0-9._])[A-Za-z0-9._+-]*[A-Za-z0-9](?P<at>[ \t]{{1,3}}(?:{_AT_WORDS})[ \t]{{1,3}}){_LABEL}(?:\.{_LABEL}){{0,6}}\.(?:{_TOP})(?![\w-])", re.I)
+_AFTER_AT = re.compile(rf"(?<=@){_LABEL}(?:(?:{_ANY_DOT}|\.){_LABEL}){{0,6}}{_ANY_DOT}(?:{_TOP})(?![\w-])", re.I)
+_DOT_ONLY = re.compile(_ANY_DOT, re.I)
 
 
 class Written:
@@ -193,9 +196,9 @@ def _signs(text: str) -> list[tuple[int, int, str]]:
 def _said(text: str) -> list[tuple[int, int, str]]:
     """Signs that are words, in what reads as an address."""
     low = text.lower()
-    if not any(w in low for w in _DOT_WORDS.split("|")):
-        return []
-    edits = []
+    edits = [(m.start("at"), m.end("at"), "@") for m in _NAMED.finditer(text)] if any(f" {w} " in low for w in _AT_WORDS.split("|")) else []
+    if not any(w in low for w in (*_DOT_WORDS.split("|"), " .")):
+        return edits
     for m in _SAID.finditer(text):
         edits += [(d.start(), d.end(), ".") for d in _DOT_ONLY.finditer(text, m.start("local"), m.end("local"))]
         edits.append((m.start("at"), m.end("at"), "@"))

@@ -58,6 +58,12 @@ def test_base_spans_are_those_of_the_rules():
         ("ja​ne@exam​ple.com", "email", "ja​ne@exam​ple.com"),
         ("jane_at_example_dot_net", "email", "jane_at_example_dot_net"),
         ("ana arroba correo punto es, sí", "email", "ana arroba correo punto es"),
+        ("by bosbt.42 at mail8.example.com now", "email", "bosbt.42 at mail8.example.com"),
+        ("by bosbt.42 @ mail8 . example . com now", "email", "bosbt.42 @ mail8 . example . com"),
+        ("by bosbt&#46;42&#64;mail8&period;example.com now", "email", "bosbt&#46;42&#64;mail8&period;example.com"),
+        ("by bosbt[.]42[@]mail8[.]example[.]com now", "email", "bosbt[.]42[@]mail8[.]example[.]com"),
+        ("𝟒𝟎𝟒𝟏 𝟖𝟗𝟒𝟗 𝟕𝟒𝟔𝟎 𝟖𝟕𝟗𝟓", "card", "𝟒𝟎𝟒𝟏 𝟖𝟗𝟒𝟗 𝟕𝟒𝟔𝟎 𝟖𝟕𝟗𝟓"),
+        ("call +1 (3I9) 555-5l3o now", "phone", "+1 (3I9) 555-5l3o"),
         ("host 192[.]168[.]1[.]20 is up", "ip", "192[.]168[.]1[.]20"),
         ("host 192 dot 168 dot 1 dot 20 is up", "ip", "192 dot 168 dot 1 dot 20"),
         ("one nine two dot one six eight dot one dot one", "ip", "one nine two dot one six eight dot one dot one"),
@@ -84,7 +90,8 @@ def test_disguises_are_found_where_they_stand(text, kind, held):
     "text",
     [
         "look at the dot com bubble, at once",
-        "meet me at example.com at noon, at 10 or one of 2 at 3",
+        "meet me at example.com at noon, at 10 or one of 2 at 3, 42 at example.com",
+        "10l of water at 20o . com, room 101l, x . y . z, at . com",
         "call +1 202 555 0123 one day",
         "one 4111 1111 1111 1111 two three",
         "un deux trois, sept ou huit points; a point at most",
@@ -100,7 +107,7 @@ def test_clean_texts_get_no_spans_added(text):
 
 def test_long_texts_take_time_in_proportion():
     long = 300_000
-    for piece in ("a", "1", "1.", "@", "a@", "+1 ", "(", " ", "one ", "1 one ", "dot ", "a dot ", "at ", "l1", "４", "​", "a.", "_at_", "[dot", "+1(", "point ", "plus "):
+    for piece in ("a", "1", "1.", "@", "a@", "+1 ", "(", " ", "one ", "1 one ", "dot ", "a dot ", "at ", "a1 at ", "a.b ", " . ", "%40", "l1", "４", "​", "a.", "_at_", "[dot", "+1(", "point ", "plus "):
         text = piece * (long // len(piece))
         began = time.time()
         find_in(text)
