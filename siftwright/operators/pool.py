@@ -6,12 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def keep_first(rows: DataFrame, key: Column, order: list[Column]) -> DataFrame:
+def keep_first(rows: DataFrame, key: Column, order: list[Column], row_id: str | None = None) -> DataFrame:
     """The first row of each key in the given ascending order, nulls first; the order must be total for a fixed result.
 
-    An aggregation with partial minima, so that a key of very many rows is shared out.
+    An aggregation with partial minima, so that a key of very many rows is shared out. Whole
+    rows go through it, which suits narrow ones; with row_id, a column that tells rows apart
+    and is never null, only keys, places and ids do, and rows are joined with the ids that stay.
     """
     place = F.struct(*(c.alias(f"o{k}") for k, c in enumerate(order)))
+    if row_id:
+        kept = rows.groupBy(key.alias("__key")).agg(F.min_by(row_id, place).alias(row_id)).select(row_id)
+        return rows.join(kept, row_id, "left_semi")
     firsts = rows.groupBy(key.alias("__key")).agg(F.min_by(F.struct(*rows.columns), place).alias("__row"))
     return firsts.select("__row.*")
 

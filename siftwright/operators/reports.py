@@ -33,16 +33,19 @@ def running_accuracy(rows: DataFrame, place: str, right: Column, block: int = 10
     return joined.select(place, (F.col("__n") + F.count(F.lit(1)).over(within)).alias("seen"), (F.col("__r") + F.sum("__right").over(within)).alias("n_right"))
 
 
-def with_position(rows: DataFrame, key: str, block: int = 100_000) -> DataFrame:
+def with_position(rows: DataFrame, key: str, block: int = 100_000, of: str | None = None) -> DataFrame:
     """rows with position, from 0 by a whole-number key; keys may have gaps, a repeated key has equal positions of its first.
 
+    of: the name of a column for how many rows with a key there are, which the same pass counts.
+
     Counts of blocks of keys are carried forward, so that only one number for each block is
     ordered in one task. A null key has a null position.
     """
     own = rows.withColumn("__block", F.floor(F.col(key) / block))
     before = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     counts = own.where(F.col(key).isNotNull()).groupBy("__block").agg(F.count(F.lit(1)).alias("__n"))
-    carried = counts.select("__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n"))
+    more = [F.sum("__n").over(Window.partitionBy(F.lit(0))).alias(of)] if of else []
+    carried = counts.select("__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n"), *more)
     nth = F.rank().over(Window.partitionBy("__block").orderBy(key))
     return own.join(carried, "__block", "left").withColumn("position", F.col("__n") + nth - 1).drop("__block", "__n")
 

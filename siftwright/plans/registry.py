@@ -102,10 +102,8 @@ def answers_parsed(spark, sf_dir):
 
 @_query("WITH n AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM labels) SELECT doc_id FROM n WHERE pos % greatest(1, n // 100) = 0 AND pos // greatest(1, n // 100) < 100")
 def stride_sample_100(spark, sf_dir):
-    rows = _table(spark, sf_dir, "labels").select("doc_id")
-    step = max(1, rows.count() // 100)
-    at = F.col("position")
-    return with_position(rows, "doc_id").where((at % step == 0) & (F.floor(at / step) < 100)).select("doc_id")
+    step, at = F.greatest(F.lit(1), F.floor(F.col("n") / 100)), F.col("position")
+    return with_position(_table(spark, sf_dir, "labels").select("doc_id"), "doc_id", of="n").where((at % step == 0) & (F.floor(at / step) < 100)).select("doc_id")
 
 
 @_query("SELECT count_if(quality = 1 AND toxic = 0) AS both_right, count_if(quality = 1 AND toxic = 1) AS broken, count_if(quality = 0 AND toxic = 0) AS fixed, count_if(quality = 0 AND toxic = 1) AS both_wrong FROM labels")

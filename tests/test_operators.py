@@ -11,6 +11,7 @@ from siftwright.functions.prompts import messages, plain_prompt
 from siftwright.functions.text import plain_words
 from siftwright.operators.lsh import bands_for, verified_candidates
 from siftwright.operators.overlap import shared, shingles
+from siftwright.operators.pool import keep_first
 from siftwright.operators.questions import from_labels, from_letters, from_quiz
 from siftwright.operators.reports import running_accuracy
 from siftwright.sources.jsonl import read_jsonl, write_jsonl
@@ -68,6 +69,15 @@ def test_shared_shingles_and_bands(spark):
     assert [bands_for(x) for x in (0.1, 0.7, 1.0)] == [1, 4, 128]
 
 
+def test_first_rows_of_keys(spark):
+    rows = spark.createDataFrame([(k, k % 3 if k % 7 else None, 10 - k, "t" * k) for k in range(12)], "i long, k long, o long, text string")
+    whole, by_id = (sorted(map(tuple, keep_first(rows, F.col("k"), [F.col("o")], row_id).collect()), key=str) for row_id in (None, "i"))
+    best = {}
+    for r in rows.collect():
+        best[r.k] = min(best.get(r.k, r), r, key=lambda x: x.o)
+    assert whole == by_id == sorted(map(tuple, best.values()), key=str)
+
+
 def test_small_functions(spark, tmp_path):
     rows = spark.createDataFrame([(["a", "b"], ["b", "c"]), ([], [])], "a array<string>, b array<string>")
     assert [r[0] for r in rows.select(jaccard(F.col("a"), F.col("b"))).collect()] == [pytest.approx(1 / 3), 0.0]
