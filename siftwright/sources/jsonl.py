@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
@@ -157,12 +158,15 @@ def numbered_lines(spark: SparkSession, path: str, scan: int | None = None) -> D
             batch = batch.filter(said)
             if not batch.num_rows:
                 continue
-            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-            own = []
-            for key in keys:
-                seen[key] = seen.get(key, 0) + 1
-                own.append(seen[key])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64())], names=["file", "block", "value", "nth"])
+            # lines of a block follow each other, so a batch has few runs
+            file, block = batch.column(0).dictionary_encode().indices.to_numpy(), batch.column(1).to_numpy()
+            begins = np.flatnonzero(np.concatenate([[True], (file[1:] != file[:-1]) | (block[1:] != block[:-1])]))
+            nth = np.arange(1, batch.num_rows + 1)
+            for begin, end in zip(begins.tolist(), [*begins[1:].tolist(), batch.num_rows]):
+                key = (batch.column(0)[begin].as_py(), int(block[begin]))
+                nth[begin:end] += seen.get(key, 0) - begin
+                seen[key] = int(nth[end - 1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nth)], names=["file", "block", "value", "nth"])
 
     numbered = lines.mapInArrow(number, "file string, block long, value string, nth long")
     blocks = Workspace(spark, "lines").write(numbered.groupBy("file", "block").agg(F.max("nth").alias("n")), "blocks")
