@@ -248,8 +248,8 @@ def minhash_candidates(spark, sf_dir):
 
 
 def _options(spark, sf_dir, table: str, key: str) -> DataFrame:
-    """Pieces of a text as options; where there are none, there is no row."""
-    return _table(spark, sf_dir, table).select(key, distinct_pieces(F.col("text"), r"[.\n]").alias("items")).where(F.size("items") > 0)
+    """Pieces of a text as options; a filter on them would have them cut twice."""
+    return _table(spark, sf_dir, table).select(key, distinct_pieces(F.col("text"), r"[.\n]").alias("items"))
 
 
 @_query(f"WITH {_pairs_sql(_lines_sql)} SELECT item_id, doc_id, inter, n_union FROM pairs QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY inter / n_union DESC, doc_id) = 1")
