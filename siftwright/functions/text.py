@@ -57,6 +57,16 @@ def unescaped(text: Column) -> Column:
     return F.when(has, unescape_html(F.when(has, text))).otherwise(text)
 
 
+def resolved(text: Column, references: dict[str, str]) -> Column:
+    """These character references resolved once each, as they are written; all others stay, such as unterminated ones.
+
+    One that stands for an ampersand has to come last.
+    """
+    for reference, meant in references.items():
+        text = F.replace(text, F.lit(reference), F.lit(meant))
+    return text
+
+
 def _folded(text: Column) -> Column:
     plain = text.rlike(r"^[\x00-\x7F]*$")
     return F.when(plain, F.lower(text)).otherwise(_strip_accents(F.when(~plain, text)))
