@@ -41,9 +41,16 @@ def lone_letter(output: Column) -> Column:
     return F.regexp_extract(output, r"(?U)\b([A-J])\b", 1)
 
 
+def _without_accents(s: str) -> str:
+    t = unicodedata.normalize("NFKD", s.lower())
+    for mark in filter(unicodedata.combining, set(t)):
+        t = t.replace(mark, "")
+    return t
+
+
 @F.arrow_udf(StringType())
 def _strip_accents(text: pa.Array) -> pa.Array:
-    return _of_each(text, lambda s: "".join(c for c in unicodedata.normalize("NFKD", s.lower()) if not unicodedata.combining(c)))
+    return _of_each(text, _without_accents)
 
 
 @F.arrow_udf(StringType())

@@ -46,7 +46,12 @@ def _probes(hashes: np.ndarray, log2: int) -> Iterator[np.ndarray]:
 
 
 def item_filter(items: DataFrame, item: str, n: int) -> Broadcast:
-    """A Bloom filter of a column of about n strings: tasks set bits, which are joined by word before the driver sees them."""
+    """A Bloom filter of a column of about n strings."""
+    return hash_filter(items.select(F.xxhash64(item)), n)
+
+
+def hash_filter(hashes: DataFrame, n: int) -> Broadcast:
+    """A Bloom filter of about n 64-bit hashes: tasks set bits, which are joined by word before the driver sees them."""
     log2 = min(_MOST_BITS, max(10, int(n * _BITS_AN_ITEM).bit_length()))
 
     def set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,11 +62,19 @@ def item_filter(items: DataFrame, item: str, n: int) -> Broadcast:
         some = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(words[some].view(np.int64))], names=["word", "bits"])
 
-    parts = items.select(F.xxhash64(item)).mapInArrow(set_bits, "word long, bits long")
+    parts = hashes.mapInArrow(set_bits, "word long, bits long")
     found = parts.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     words = np.zeros(1 << (log2 - 6), np.uint64)
     words[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
-    return items.sparkSession.sparkContext.broadcast(words)
+    return hashes.sparkSession.sparkContext.broadcast(words)
+
+
+def in_filter(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Which hashes the filter has, and a few others."""
+    keep = np.ones(len(hashes), bool)
+    for bit in _probes(hashes, len(words).bit_length() + 5):
+        keep &= (words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
+    return keep
 
 
 def known_items(rows: DataFrame, key: str, known: Broadcast) -> DataFrame:
@@ -76,10 +89,7 @@ def known_items(rows: DataFrame, key: str, known: Broadcast) -> DataFrame:
             ids, items, hashes = batch.columns
             many = items.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             flat = hashes.flatten().to_numpy().view(np.uint64)
-            keep = np.ones(len(flat), bool)
-            for bit in _probes(flat, len(words).bit_length() + 5):
-                keep &= (words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
-            at = np.flatnonzero(keep)
+            at = np.flatnonzero(in_filter(flat, words))
             owner = np.repeat(np.arange(len(many)), many)[at]
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner)), pa.array(many[owner].astype(np.int32)), items.flatten().take(pa.array(at))], names=[key, "__n", "__item"])
 

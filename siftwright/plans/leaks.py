@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftwright.functions.hashed import hashed_shingles
+from siftwright.functions.text import plain_words
 from siftwright.operators.lsh import MISSED, Sets, best_bands
-from siftwright.plans.registry import _query, _runs_sql, _shingles, _table
+from siftwright.plans.registry import _query, _runs_sql, _table
 
 # The thresholds of a sweep.
 THRESHOLDS = (1.0, 0.9, 0.8, 0.7)
@@ -64,5 +66,5 @@ FROM shapes s LEFT JOIN ends USING (threshold)"""
 )
 def lsh_sweep(spark, sf_dir):
     """Near copies among all documents at each threshold: exact pairs, and whether bands and estimates keep what they promise."""
-    rows = swept(Sets(_shingles(_table(spark, sf_dir, "documents"), "doc_id", 4), "doc_id"))
+    rows = swept(Sets(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", hashed_shingles(plain_words(F.col("text")), 4)))
     return rows.select("threshold", "bands", "band_slots", "pairs", "documents", (F.col("found") >= LEAST_FOUND).alias("enough_found"), (F.col("off") <= MOST_OFF).alias("estimates_close"))

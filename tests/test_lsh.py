@@ -104,3 +104,59 @@ def test_most_items_stay_where_they_are(spark):
     found = {r["__item"] for r in left.collect()}
     assert {f"{i}-7" for i in range(0, 300, 3)} <= found and len(found) < 100 + 60_000 * 0.01
     assert {r["__n"] for r in left.collect()} == {200}
+
+
+@pytest.mark.parametrize("few", [64, 3])
+def test_crowded_items_lose_no_pair(spark, monkeypatch, few):
+    monkeypatch.setattr(lsh, "FEW", few)
+    monkeypatch.setattr(lsh, "PART", 8)
+    monkeypatch.setattr(lsh, "TOLD_BY", 1)
+    sets = _families(5, 120)
+    least = {}
+    for i, s in sets.items():
+        least.setdefault(frozenset(s), i)
+    near = {(a, b): _jaccard(sets[a], sets[b]) for a, b in combinations(sorted(least[s] for s in least if s), 2)}
+    held = Sets(_table(spark, sets), "id")
+    found = {(r.a, r.b): r.jaccard for r in held.compared(held.similar(0.6)).collect()}
+    assert {k: j for k, j in found.items() if j >= 0.6} == pytest.approx({k: j for k, j in near.items() if j >= 0.6})
+
+
+def test_a_shared_passage_alone_is_no_candidate(spark):
+    """Sets that share a passage but can't be near are never compared."""
+    passage = [f"p{k}" for k in range(12)]
+    sets = {i: {*passage, *(f"{i}-{k}" for k in range(60))} for i in range(40)} | {40: {f"0-{k}" for k in range(60)}}
+    assert [tuple(r) for r in Sets(_table(spark, sets), "id").similar(0.7).collect()] == [(0, 40)]
+
+
+def test_hashed_shingles_are_those_of_strings(spark):
+    from siftwright.functions.hashed import hashed_shingles
+    from siftwright.functions.text import plain_words
+    from siftwright.operators.overlap import shingles
+
+    r = random.Random(3)
+    texts = ["", None, " ", "one", "one two", "one two three", "one two three four", "a b a b a b a b", "È due tre  quattro cinque sei", *(" ".join(r.choice(["ab", "abc", "lengthy-word-of-more-than-8", "é", "abcdefgh", "abcdefghi"]) for _ in range(r.randrange(1, 60))) for _ in range(700))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1).withColumn("plain", plain_words(F.col("text")))
+    got = rows.select("id", shingles(F.col("plain"), 4).alias("s"), hashed_shingles(F.col("plain"), 4).alias("h")).collect()
+    told = {}
+    for row in got:
+        assert len(row.h) == len(row.s) and row.h == sorted(set(row.h))
+        told.setdefault(frozenset(row.s), set()).add(tuple(row.h))
+    assert all(len(h) == 1 for h in told.values()) and len({h for x in told.values() for h in x}) == len(told)
+    assert len({x for row in got for x in row.h}) == len({x for row in got for x in row.s})
+
+
+def test_sweep_writes_no_more_than_its_input(spark, monkeypatch):
+    """Sets of items were written and shuffled whole, 22 times the input on disk; now a few numbers of each are."""
+    from siftwright.sources.shared import Workspace
+
+    written = []
+
+    def write(self, df, name, f=Workspace.write):
+        out = f(self, df, name)
+        written.append((name, [t for _, t in out.dtypes], out.count()))
+        return out
+
+    monkeypatch.setattr(Workspace, "write", write)
+    sets = {i: {f"{i}-{k}" for k in range(200)} for i in range(100)}
+    assert swept(Sets(_table(spark, sets), "id"), (0.7,)).first().pairs == 0
+    assert written and not any(t == "array<string>" or n > len(sets) for _, kinds, n in written for t in kinds)
