@@ -112,17 +112,26 @@ def _features(data: np.ndarray, offsets: np.ndarray, shape: Shape) -> Iterator[t
         yield (mix(twins) >> shift64)[within], upto[np.minimum(ends, len(twins))]
 
 
-def _rows(column: pa.Array, shape: Shape) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Each text's distinct buckets and their weights in its mean."""
+def _rows(column: pa.Array, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's distinct buckets and their weights in its mean, text after text, and where each text's start.
+
+    They are written into two arrays of the most there can be, which take memory as they are
+    filled and give it back; a pair of arrays for each text leaves it in pieces that stay.
+    """
     data, offsets = column_bytes(column)
-    out = []
+    size = 1 << shape.buckets_log2
+    most = int(np.minimum(KINDS * np.diff(offsets), size).sum())
+    buckets, weights = np.empty(most, np.int32), np.empty(most, np.float32)
+    bounds = np.zeros(len(offsets), np.int64)
     for i in range(len(offsets) - 1):
         own = data[offsets[i] : offsets[i + 1]]
         parts = [b.astype(np.int64) for b, _ in _features(own, np.array([0, len(own)]), shape)]
-        weight = sum((np.bincount(b, minlength=1 << shape.buckets_log2) / (KINDS * max(1, len(b))) for b in parts), np.zeros(1 << shape.buckets_log2))
+        weight = sum((np.bincount(b, minlength=size) / (KINDS * max(1, len(b))) for b in parts), np.zeros(size))
         at = np.flatnonzero(weight)
-        out.append((at.astype(np.int32), weight[at].astype(np.float32)))
-    return out
+        bounds[i + 1] = bounds[i] + len(at)
+        buckets[bounds[i] : bounds[i + 1]] = at
+        weights[bounds[i] : bounds[i + 1]] = weight[at]
+    return bounds, buckets, weights
 
 
 def train(texts: pa.Array, labels: list, shape: Shape, calibrate: float = 0.1, accept: float = 0.99) -> Model:
@@ -137,10 +146,11 @@ def train(texts: pa.Array, labels: list, shape: Shape, calibrate: float = 0.1, a
     if not classes:
         return Model(shape, [None], np.zeros((size, 1), np.float32), np.zeros(1))
     random = np.random.default_rng(shape.seed)
-    rows = _rows(texts, shape)
+    bounds, buckets, weights = rows = _rows(texts, shape)
     target = np.array([classes.index(x) for x in labels])
-    order = random.permutation(len(rows))
-    held = order[: int(calibrate * len(rows))] if len(rows) >= 50 else order[:0]
+    n = len(bounds) - 1
+    order = random.permutation(n)
+    held = order[: int(calibrate * n)] if n >= 50 else order[:0]
     used = order[len(held) :]
     embed = random.normal(0, 0.1, (size, shape.dims)).astype(np.float32)
     out = random.normal(0, 0.1, (shape.dims, len(classes))).astype(np.float32)
@@ -152,7 +162,7 @@ def train(texts: pa.Array, labels: list, shape: Shape, calibrate: float = 0.1, a
             own = used[lo : lo + shape.batch]
             dense = np.zeros((len(own), size), np.float32)
             for r, i in enumerate(own):
-                dense[r, rows[i][0]] = rows[i][1]
+                dense[r, buckets[bounds[i] : bounds[i + 1]]] = weights[bounds[i] : bounds[i + 1]]
             mean = dense @ embed
             grad = _softmax(mean @ out + bias).astype(np.float32)
             grad[np.arange(len(own)), target[own]] -= 1
@@ -166,8 +176,9 @@ def train(texts: pa.Array, labels: list, shape: Shape, calibrate: float = 0.1, a
     return model
 
 
-def _calibrate(model: Model, rows: list, target: np.ndarray, held: np.ndarray, accept: float) -> None:
-    logits = np.array([rows[i][1] @ model.table[rows[i][0]] for i in held]) + model.bias
+def _calibrate(model: Model, rows: tuple[np.ndarray, np.ndarray, np.ndarray], target: np.ndarray, held: np.ndarray, accept: float) -> None:
+    bounds, buckets, weights = rows
+    logits = np.array([weights[bounds[i] : bounds[i + 1]] @ model.table[buckets[bounds[i] : bounds[i + 1]]] for i in held]) + model.bias
     truth = target[held]
     model.temperature = min(np.geomspace(0.25, 4, 33), key=lambda t: -np.log(_softmax(logits / t)[np.arange(len(held)), truth] + 1e-12).mean())
     # an intercept for each class, by likelihood; drawn to zero as by two rows, so that few rows move it little
