@@ -42,6 +42,10 @@ FAN = 1024  # runs of a shard that are summed at once, about
 _MOST_WORDS = 3_037_000_499  # whose square has 63 bits
 _PARTS = 16  # a word's n-grams are dealt to as many shards as they would fill times this
 _U, _I = np.uint64, np.int64
+_ONES, _TOPS = _U(0x0101010101010101), _U(0x8080808080808080)  # the lowest and the highest bit of each byte
+#: The place of the k-th set bit of a byte, at 8 times the byte plus k.
+_IN_BYTE = np.array([([i for i in range(8) if byte >> i & 1] + 8 * [0])[:8] for byte in range(256)], np.int64).ravel()
+_VALUES = 10.0 ** (np.arange(1 << 16) / -STEPS)
 
 
 class Rising:
@@ -74,21 +78,23 @@ class Rising:
         left = (k - before[word]).astype(_U)
         value = self.parts["upper"][word]
         value = value if bit else ~value
-        place = np.zeros(len(k), _U)
-        for width in (32, 16, 8, 4, 2, 1):
-            half = np.bitwise_count((value >> place) & _U((1 << width) - 1)).astype(_U)
-            over = left >= half
-            left -= np.where(over, half, _U(0))
-            place += np.where(over, _U(width), _U(0))
-        return 64 * word + place.astype(_I)
+        # set bits up to each byte, all bytes of a word at once; then the byte, then the place in it
+        upto = value - ((value >> _U(1)) & _U(0x5555555555555555))
+        upto = (upto & _U(0x3333333333333333)) + ((upto >> _U(2)) & _U(0x3333333333333333))
+        upto = ((upto + (upto >> _U(4))) & (_ONES * _U(15))) * _ONES
+        place = _U(8) * np.bitwise_count(((left * _ONES | _TOPS) - upto) & _TOPS).astype(_U)
+        left -= ((upto << _U(8)) >> place) & _U(255)
+        byte = (value >> place) & _U(255)
+        return 64 * word + place.astype(_I) + _IN_BYTE[(byte << _U(3) | left).astype(_I)]
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
             return np.zeros(len(i), _I)
         at = i * self.low_bits
         word, shift = at >> 6, (at & 63).astype(_U)
-        out = self.parts["low"][word] >> shift
-        out |= (self.parts["low"][word + 1] << _U(1)) << (_U(63) - shift)
+        low = self.parts["low"]
+        out = low.take(word) >> shift
+        out |= (low.take(word + 1) << _U(1)) << (_U(63) - shift)
         return (out & _U((1 << self.low_bits) - 1)).astype(_I)
 
     def _next(self, place: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,14 +131,16 @@ class Rising:
         h = np.where(inside, high, 0)
         start, stop = self._run(h)
         a, b = np.maximum(start, lo), np.minimum(stop, hi)
-        b = np.where(inside, b, a)
-        end, want = b.copy(), x & ((1 << self.low_bits) - 1)
-        while len(live := np.flatnonzero(a < b)):
-            mid = (a[live] + b[live]) >> 1
-            less = self._low(mid) < want[live]
-            a[live] = np.where(less, mid + 1, a[live])
-            b[live] = np.where(less, b[live], mid)
-        hit = a < end
+        hit, want = inside & (a < b), x & ((1 << self.low_bits) - 1)
+        live = np.flatnonzero(hit & (a < b - 1))
+        lo, hi, low = a[live], b[live] - 1, want[live]
+        while len(live):
+            mid = (lo + hi) >> 1
+            less = self._low(mid) < low
+            lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
+            open_ = lo < hi
+            a[live[~open_]] = lo[~open_]
+            live, lo, hi, low = live[open_], lo[open_], hi[open_], low[open_]
         hit[hit] = self._low(a[hit]) == want[hit]
         return np.where(hit, a, -1)
 
@@ -142,7 +150,7 @@ def quantise(p: np.ndarray) -> np.ndarray:
 
 
 def _value(code: np.ndarray) -> np.ndarray:
-    return 10.0 ** (code.astype(np.float64) / -STEPS)
+    return _VALUES[code]
 
 
 def _store(folder: str, arrays: dict[str, np.ndarray]) -> str:
@@ -206,6 +214,15 @@ class Vocabulary:
             out[at] = np.where(keys[i] == hashes[at], self.starts[s] + i, -1)
         return out
 
+    def ranked(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the distinct tokens, rising; each token's place among them); each is sought once, unknown ones are -1 and first."""
+        distinct, at = np.unique(tokens, return_inverse=True)
+        ids = self.ids(distinct)
+        order = np.argsort(ids)
+        rank = np.empty(len(ids), _I)
+        rank[order] = np.arange(len(ids))
+        return ids[order], rank[at]
+
     def read(self, ids: np.ndarray, key: str, missing: int = 0) -> np.ndarray:
         out = np.full(len(ids), missing, _I)
         which = np.searchsorted(self.starts, ids, "right") - 1
@@ -263,42 +280,51 @@ def _store_words(folder: str):
     return store
 
 
-def _summed(grams: list[np.ndarray], size: int, n_tries: int) -> pa.RecordBatch:
-    """Each n-gram of these blocks once, with its count, packed for each shard."""
-    a, b, c, seen = np.concatenate(grams, axis=1)
+def _by_shard(shard: np.ndarray, n: int) -> np.ndarray:
+    """The order of the shards, of n at most, that leaves a shard's own order."""
+    return np.argsort(shard.astype(np.uint16) if n <= 1 << 16 else shard, kind="stable")
+
+
+def _summed(pieces: list[tuple[np.ndarray, int]], vocabulary: Vocabulary, size: int, n_tries: int) -> pa.RecordBatch:
+    """Each n-gram of these pieces of tokens once, with its count, packed for each shard; a piece says how many of its tokens begin one."""
+    tokens = np.concatenate([t for t, _ in pieces])
+    ids, word = vocabulary.ranked(tokens)
+    seen = vocabulary.read(ids, "counts")
+    whole = np.concatenate([np.arange(len(t)) < begun for t, begun in pieces]) & (tokens != _END)
+    # ranks of words from 1 on, 0 for none; a block has at most 2^20 words and a few, so that three have 63 bits
+    m, a = len(ids) + 1, np.flatnonzero(whole)
+    word += 1
+    b = word[a + 1]
+    c = np.where(tokens[a + 1] == _END, 0, np.append(word, 0)[a + 2])
+    grams = np.sort((word[a] * m + b) * m + c)
+    new = _firsts(grams)
+    n = np.diff(np.append(new, len(grams)))
+    pairs, c = np.divmod(grams[new], m)
+    a, b = np.divmod(pairs, m)
+    a, b, c, seen = ids[a - 1], ids[b - 1], np.append(_PAD, ids)[c], seen[a - 1]
     shard, pairs = shard_of(a, b, seen, n_tries), a * size + b
-    order = np.lexsort((c, pairs, shard))
-    shard, pairs, c = shard[order], pairs[order], c[order]
-    new = _firsts(shard, pairs, c)
-    n = np.diff(np.append(new, len(pairs)))
-    shard, pairs, c = shard[new], pairs[new], c[new]
+    order = _by_shard(shard, n_tries)
+    shard, pairs, c, n = shard[order], pairs[order], c[order], n[order]
     begin = _firsts(shard)
-    blobs = [_packed(pairs[lo:hi], c[lo:hi], n[lo:hi]) for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(shard)], strict=True)]
+    blobs = [_packed(pairs[lo:hi], c[lo:hi], n[lo:hi]) for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(shard)][: len(begin)], strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(shard[begin].astype(np.int32)), pa.array(blobs, pa.binary())], names=["shard", "grams"])
 
 
 def _count_ngrams(folder: str, shards: list, files: list, size: int, n_tries: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(folder, shards, files)
-        end = int(vocabulary.ids(np.array([_END]))[0])
         waiting, held = [], 0
         for batch in batches:
             for _, _, tokens, _ in _spans(batch.column(0)):
-                ids = vocabulary.ids(tokens)
-                for lo in range(0, len(ids), _AT_ONCE):
-                    a = ids[lo : lo + _AT_ONCE + 2]
-                    b, c = np.append(a[1:], _PAD), np.append(a[2:], [_PAD, _PAD])[: len(a)]
-                    c = np.where(b == end, _PAD, c)
-                    whole = a != end
-                    whole[_AT_ONCE:] = False
-                    a, b, c = a[whole], b[whole], c[whole]
-                    waiting.append(np.stack([a, b, c, vocabulary.read(a, "counts")]))
-                    held += len(a)
+                for lo in range(0, len(tokens), _AT_ONCE):
+                    piece = tokens[lo : lo + _AT_ONCE + 2]
+                    waiting.append((piece, _AT_ONCE))
+                    held += min(len(piece), _AT_ONCE)
                     if held >= _AT_ONCE:
-                        yield _summed(waiting, size, n_tries)
+                        yield _summed(waiting, vocabulary, size, n_tries)
                         waiting, held = [], 0
         if held:
-            yield _summed(waiting, size, n_tries)
+            yield _summed(waiting, vocabulary, size, n_tries)
 
     return count
 
@@ -312,23 +338,28 @@ def _firsts(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(differ)
 
 
+def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n-grams of some runs of a shard, sorted, each once, with their counts."""
+    pairs, c, n = (np.concatenate(x) for x in zip(*map(_unpacked, table.column("grams").to_pylist()), strict=True))
+    # a pair's rank and a third word have 63 bits, as a shard has far fewer pairs than 2^31 and c is below 2^32 - 1
+    distinct, rank = np.unique(pairs, return_inverse=True)
+    grams = (rank << 32) + (c + 1)
+    order = np.argsort(grams)
+    grams, n = grams[order], n[order]
+    new = _firsts(grams)
+    grams = grams[new]
+    return distinct[grams >> 32], (grams & 0xFFFFFFFF) - 1, np.add.reduceat(n, new)
+
+
 def _sum_runs(key: tuple, table: pa.Table) -> pa.Table:
     """Some runs of a shard as one."""
-    pairs, c, n = (np.concatenate(x) for x in zip(*map(_unpacked, table.column("grams").to_pylist()), strict=True))
-    order = np.lexsort((c, pairs))
-    pairs, c, n = pairs[order], c[order], n[order]
-    new = _firsts(pairs, c)
-    return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "grams": pa.array([_packed(pairs[new], c[new], np.add.reduceat(n, new))], pa.binary())})
+    return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "grams": pa.array([_packed(*_merged(table))], pa.binary())})
 
 
 def _store_trie(folder: str, size: int, words_folder: str, shards: list, files: list):
     def store(key: tuple, table: pa.Table) -> pa.Table:
-        pairs, c, n = (np.concatenate(x) for x in zip(*map(_unpacked, table.column("grams").to_pylist()), strict=True))
-        order = np.lexsort((c, pairs))
-        pairs, c, n = pairs[order], c[order], n[order]
-        new = _firsts(pairs, c)
-        pairs, c, n = pairs[new], c[new], np.add.reduceat(n, new)
-        a, b = pairs // size, pairs % size
+        pairs, c, n = _merged(table)
+        a, b = np.divmod(pairs, size)
         two = _firsts(pairs)
         one = _firsts(a[two])
         pairs = np.add.reduceat(n, two)
@@ -401,55 +432,80 @@ class Scorer:
         return self._tries[s]
 
     def log10(self, tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(log10 of p, log10 of the base, known) of each token."""
-        n, size = len(tokens), self.m.n_words
-        ids = self.vocabulary.ids(tokens)
-        seen = self.vocabulary.read(ids, "counts")
-        base = (seen + 1) / (self.m.n_tokens + size + 1)
+        """(log10 of p, log10 of the base, known) of each token; a word, pair or n-gram is sought once, in the order of the files."""
+        n, m = len(tokens), self.m
+        ids, word = self.vocabulary.ranked(tokens)
+        seen, kinds = self.vocabulary.read(ids, "counts"), self.kinds.read(ids, "kinds")
+        base = (seen + 1) / (m.n_tokens + m.n_words + 1)
+        left = np.where(seen > 0, DISCOUNT * kinds / np.maximum(seen, 1), 1.0)  # of a context of this word, for shorter ones
         first = np.zeros(n, bool)
         first[np.cumsum(counts) - counts] = True
-        before = np.append(-1, ids[:-1])
-        before[first] = -1
-        kinds, total = self.kinds.read(before, "kinds"), self.vocabulary.read(before, "counts")
-        p = base * np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
-        own, rest, more = np.zeros(n), np.ones(n), np.zeros(n)  # more: the trigram's own share
-        paired = np.flatnonzero((before >= 0) & (ids >= 0))
-        then = np.append(ids[1:], -1)  # what follows a pair in its text
-        then[:-1][first[1:]] = -1
-        # in order of the pairs, so that searches are near each other and a pair is sought once
-        key = before[paired] * size + ids[paired]
-        shard = shard_of(before[paired], ids[paired], total[paired], self.m.n_tries) if len(paired) else paired
-        order = np.lexsort((key, shard))
-        paired, shard, key = paired[order], shard[order], key[order]
-        for lo, hi in zip(starts := _firsts(shard) if len(shard) else [], np.append(starts[1:], len(shard)) if len(shard) else [], strict=True):
-            trie = self._trie(int(shard[lo]))
-            if trie is None:
-                continue
-            one, two, three, to_two, to_three, two_p, two_rest, three_p = trie
-            new = _firsts(key[lo:hi])
-            times = np.diff(np.append(new, hi - lo))
-            x, y = before[paired[lo:hi][new]], ids[paired[lo:hi][new]]
-            a = one.find(x, np.zeros(len(x), _I), np.full(len(x), one.n, _I))
-            b, held = np.full(len(x), -1, _I), np.flatnonzero(a >= 0)
-            if not len(held):
-                continue
-            b[held] = two.find(a[held] * size + y[held], *to_two.bounds(a[held]))
-            held = np.flatnonzero(b >= 0)
-            if not len(held):
-                continue
-            at, times = paired[lo:hi][np.repeat(b >= 0, times)], times[held]
-            b, begin_end = b[held], to_three.bounds(b[held])
-            own[at], rest[at] = np.repeat(_value(two_p[b]), times), np.repeat(_value(two_rest[b]), times)
-            b, begin, end = (np.repeat(v, times) for v in (b, *begin_end))
-            on = np.flatnonzero(then[at] >= 0)
+        p = base[word]
+        p[1:] *= np.where(first[1:], 1.0, left[word[:-1]])
+        known = seen > 0
+        follows = known[word]
+        follows[1:] &= follows[:-1]
+        follows &= ~first
+        paired = np.flatnonzero(follows)
+        prior_rest, prior_more = np.ones(n + 1), np.zeros(n + 1)
+        if len(paired):
+            pairs, pair = np.unique(word[paired - 1] * len(ids) + word[paired], return_inverse=True)
+            x, y = np.divmod(pairs, len(ids))
+            shard = shard_of(ids[x], ids[y], seen[x], m.n_tries)
+            order = _by_shard(shard, m.n_tries)
+            x, y, shard = x[order], y[order], shard[order]
+            place = np.empty(len(order), _I)
+            place[order] = np.arange(len(order))
+            pair = place[pair]
+            own, rest, b, begin, end = self._pairs(ids, x, y, shard)
+            p[paired] += own[pair]
+            prior_rest[paired + 1] = rest[pair]
+            # the words after pairs that have some
+            on = np.flatnonzero(follows[np.minimum(paired + 1, n - 1)] & (paired + 1 < n) & (begin < end)[pair])
             if len(on):
-                at, b = at[on], b[on]
-                c = three.find(b * size + then[at], begin[on], end[on])
-                more[at[c >= 0]] = _value(three_p[c[c >= 0]])
-        p = own + p
-        prior_rest, prior_more = np.append(1.0, rest[:-1]), np.append(0.0, more[:-1])
+                grams, gram = np.unique(pair[on] * len(ids) + word[paired[on] + 1], return_inverse=True)
+                k, z = np.divmod(grams, len(ids))
+                prior_more[paired[on] + 1] = self._thirds(b[k], ids[z], begin[k], end[k], shard[k])[gram]
+        prior_rest, prior_more = prior_rest[:-1], prior_more[:-1]
         prior_rest[first], prior_more[first] = 1.0, 0.0
-        return np.log10(prior_more + prior_rest * p), np.log10(base), seen > 0
+        return np.log10(prior_more + prior_rest * p), np.log10(base)[word], known[word]
+
+    def _by_trie(self, shard: np.ndarray) -> Iterator[tuple[slice, tuple]]:
+        starts = _firsts(shard)
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(shard)], strict=True):
+            if (trie := self._trie(int(shard[lo]))) is not None:
+                yield slice(lo, hi), trie
+
+    def _pairs(self, ids: np.ndarray, x: np.ndarray, y: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(own share, rest, place in the trie, first and end of the words after it) of sorted pairs of words; an absent one has no own share and all rest."""
+        n = len(x)
+        own, rest, place, begin, end = np.zeros(n), np.ones(n), np.zeros(n, _I), np.zeros(n, _I), np.zeros(n, _I)
+        for of, (one, two, _, to_two, to_three, two_p, two_rest, _) in self._by_trie(shard):
+            new = _firsts(x[of])
+            times = np.diff(np.append(new, of.stop - of.start))
+            w = ids[x[of][new]]
+            a = one.find(w, np.zeros(len(w), _I), np.full(len(w), one.n, _I))
+            have = a >= 0
+            if not have.any():
+                continue
+            at = of.start + np.flatnonzero(np.repeat(have, times))
+            a, times = a[have], times[have]
+            a, lo, hi = (np.repeat(v, times) for v in (a, *to_two.bounds(a)))
+            b = two.find(a * self.m.n_words + ids[y[at]], lo, hi)
+            at, b = at[b >= 0], b[b >= 0]
+            if len(at):
+                own[at], rest[at], place[at] = _value(two_p[b]), _value(two_rest[b]), b
+                begin[at], end[at] = to_three.bounds(b)
+        return own, rest, place, begin, end
+
+    def _thirds(self, place: np.ndarray, z: np.ndarray, begin: np.ndarray, end: np.ndarray, shard: np.ndarray) -> np.ndarray:
+        """The own share of sorted n-grams: a pair's place in its trie, and a third word."""
+        more = np.zeros(len(z))
+        for of, (_, _, three, _, _, _, _, three_p) in self._by_trie(shard):
+            c = three.find(place[of] * self.m.n_words + z[of], begin[of], end[of])
+            hit = np.flatnonzero(c >= 0)
+            more[of.start + hit] = _value(three_p[c[hit]])
+        return more
 
 
 def fit(docs: DataFrame, shard: int = SHARD, fan: int = FAN) -> tuple[Model, Workspace]:

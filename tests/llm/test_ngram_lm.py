@@ -7,10 +7,11 @@ from collections import Counter, defaultdict
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from siftwright.llm import ngram_lm
-from siftwright.llm.ngram_lm import DISCOUNT, Rising, _packed, _unpacked, score_texts
+from siftwright.llm.ngram_lm import DISCOUNT, Rising, Vocabulary, _count_ngrams, _packed, _score, _unpacked, fit, score_texts
 
 
 def _tokens(text):
@@ -74,6 +75,43 @@ def test_scores_are_those_of_plain_counting(spark, monkeypatch, texts, shard, bl
         assert got["score"] == pytest.approx(want, abs=len(tokens) / 2048)
 
 
+def test_words_and_ngrams_that_occur_again_are_not_sought_again(spark, monkeypatch):
+    texts = _pair_in_most_texts()
+    model, _ = fit(spark.createDataFrame([(t,) for t in texts], "text string"), shard=50)
+    sought = Counter()
+    for kind, name in ((Vocabulary, "ids"), (Rising, "find")):
+        monkeypatch.setattr(kind, name, lambda self, x, *a, f=getattr(kind, name), name=name: (sought.update({name: len(x)}), f(self, x, *a))[1])
+
+    def work(step, times):
+        sought.clear()
+        out = list(step(iter([pa.RecordBatch.from_arrays([pa.array(texts * times)], names=["text"])])))
+        return out, dict(sought)
+
+    (once, few), (often, many) = work(_score(model), 1), work(_score(model), 30)
+    assert many == few and set(few) == {"ids", "find"}
+    assert often[0].column(3).to_pylist() == once[0].column(3).to_pylist() * 30
+    count = _count_ngrams(model.folder, model.shards, model.words_files, model.n_words, model.n_tries)
+    assert work(count, 30)[1] == work(count, 1)[1]
+
+
+def test_only_empty_texts(spark):
+    rows = score_texts(spark.createDataFrame([(i, None if i % 2 else " ") for i in range(30)], "doc_id long, text string")).collect()
+    train = sum(not r.held_out for r in rows)
+    assert {(r.n_tokens, r.n_known, r.train_tokens) for r in rows} == {(1, 1, train)}
+    assert [r.score for r in rows] == pytest.approx([math.log10((train + 1) / (train + 2))] * 30)
+
+
+@pytest.mark.parametrize("bits", [0.02, 0.5, 0.98])
+def test_select_finds_each_bit(bits):
+    r = np.random.default_rng(4)
+    x = np.cumsum(r.random(5000) > bits)  # rising by one or not at all, so both kinds of bits come in runs
+    code = Rising(Rising.encode(x))
+    upper = np.unpackbits(code.parts["upper"].view(np.uint8), bitorder="little")
+    for bit in (0, 1):
+        want = np.flatnonzero(upper == bit)
+        assert (code._select(np.arange(len(want)), bit) == want).all()
+
+
 def test_a_vocabulary_of_over_a_thousand_shards(spark):
     docs = spark.createDataFrame([(i, " ".join(f"w{(7 * i + k) % 1100}" for k in range(9))) for i in range(170)], "doc_id long, text string")
     few, many = ({r.doc_id: r.score for r in score_texts(docs, shard=s).collect()} for s in (1 << 20, 1))
